@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import CHAT_SQL, op8_chat_format
 from .dedup import op3_near_duplicates
+from .langid import op10_language_profiles
+from .mixing import op4_entropy_mixing
+from .quality import QUALITY_SQL, op5_adaptive_quality
 from .sharding import op1_feistel_sharding
 from .tokens import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_feistel_sharding, op3_near_duplicates, op7_token_counts)
+    for f in (op1_feistel_sharding, op3_near_duplicates, op4_entropy_mixing, op5_adaptive_quality, op7_token_counts, op8_chat_format, op10_language_profiles)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_adaptive_quality": QUALITY_SQL, "op8_chat_format": CHAT_SQL}
