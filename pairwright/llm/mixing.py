@@ -81,8 +81,8 @@ def solve(counts: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
     return state
 
 
-def plan(sized: DataFrame, rows: int, cap: int = CAP) -> tuple[DataFrame, int]:
-    """(key, size, salt, total, target, rate, base, edge) and how many groups: a document of a group has base copies, and one more if its hash is at most edge."""
+def plan(sized: DataFrame, rows: int, cap: int = CAP) -> tuple[DataFrame, int, int]:
+    """(key, size, salt, total, target, rate, base, edge), how many groups and how many salts: a document of a group has base copies, and one more if its hash is at most edge."""
     salts = max(1, rows // SALT_ROWS)
     salted = sized.withColumns({"h": F.xxhash64("doc_id"), "salt": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts))})
     counts = cut(salted.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("c")), "counts")
@@ -106,16 +106,14 @@ def plan(sized: DataFrame, rows: int, cap: int = CAP) -> tuple[DataFrame, int]:
     rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("h", "doc_id"))
     edges = ranked.withColumn("rank", rank).where("rank = extra").select("key", "size", "salt", F.col("h").alias("edge"))
     out = cut(groups.drop("extra").join(edges, ["key", "size", "salt"], "left"), "plan")
-    return out.withColumn("_salts", F.lit(salts)), out.count()
+    return out, out.count(), salts
 
 
-def apply(docs: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+def apply(docs: DataFrame, groups: DataFrame, n: int, salts: int) -> DataFrame:
     """docs with _size, _total, _target, _rate and _copies; the plan is broadcast only while its counted groups are few."""
-    salts = groups.select("_salts").first()
     named = groups.select(*(F.col(c).alias(f"_{c}") for c in ("key", "size", "salt", "total", "target", "rate", "base", "edge")))
-    if salts is None:
-        return docs.withColumns({"_size": sizes(F.col("text"))}).join(named.drop("_size"), F.lit(False)).withColumn("_copies", F.col("_base"))
-    placed = docs.withColumns({"_k": _KEY, "_s": sizes(F.col("text")) if "text" in docs.columns else F.col("size"), "_h": F.xxhash64("doc_id"), "_t": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts[0]))})
+    size = sizes(F.col("text")) if "text" in docs.columns else F.col("size")
+    placed = docs.withColumns({"_k": _KEY, "_s": size, "_h": F.xxhash64("doc_id"), "_t": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts))})
     on = (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_size")) & (F.col("_t") == F.col("_salt"))
     joined = placed.join(broadcast_if(named, n, BROADCAST_GROUPS), on)
     return joined.withColumn("_copies", F.col("_base") + F.coalesce((F.col("_h") <= F.col("_edge")).cast("long"), F.lit(0))).drop("_k", "_s", "_h", "_t", "_key", "_salt", "_base", "_edge")
@@ -124,10 +122,18 @@ def apply(docs: DataFrame, groups: DataFrame, n: int) -> DataFrame:
 def balance(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, rate, copies for every row of docs."""
     sized = cut(docs.select("doc_id", "source", _KEY.alias("key"), sizes(F.col("text")).alias("size")), "sizes")
-    groups, n = plan(sized.select("doc_id", "key", "size"), sized.count(), cap)
-    out = apply(sized.select("doc_id", "source", "size"), groups, n)
+    groups, n, salts = plan(sized.select("doc_id", "key", "size"), sized.count(), cap)
+    out = apply(sized.select("doc_id", "source", "size"), groups, n, salts)
     return out.select("doc_id", "size", F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).alias("taken"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
+def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
+    """docs with each row repeated as often as the mix takes it, with the columns of docs."""
+    sized = cut(docs.select("doc_id", _KEY.alias("key"), sizes(F.col("text")).alias("size")), "sizes")
+    groups, n, salts = plan(sized, sized.count(), cap)
+    taken = apply(docs, groups, n, salts).where("_copies > 0")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).select(docs.columns)
+
+
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance(documents(spark, sf_dir))

@@ -145,7 +145,7 @@ WITH d AS (
   FROM documents),
 w AS (
   SELECT *, CASE WHEN b = '' THEN CAST([] AS VARCHAR[]) ELSE regexp_split_to_array(b, '[\x20\x09-\x0D]+') END AS ws,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM d),
 g AS (
   SELECT k, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) > 8),
