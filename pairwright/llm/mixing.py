@@ -28,7 +28,11 @@ SALT_ROWS = 1_000_000
 ITERATIONS = 80
 #: Groups of (source, size, salt) broadcast at most, about 40 bytes each.
 BROADCAST_GROUPS = 500_000
-_KEY = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+
+
+def source_key() -> Column:
+    """The source as a key that is never null; null sorts last."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
 
 def sizes(text: Column) -> Column:
@@ -113,7 +117,7 @@ def apply(docs: DataFrame, groups: DataFrame, n: int, salts: int) -> DataFrame:
     """docs with _size, _total, _target, _rate and _copies; the plan is broadcast only while its counted groups are few."""
     named = groups.select(*(F.col(c).alias(f"_{c}") for c in ("key", "size", "salt", "total", "target", "rate", "base", "edge")))
     size = sizes(F.col("text")) if "text" in docs.columns else F.col("size")
-    placed = docs.withColumns({"_k": _KEY, "_s": size, "_h": F.xxhash64("doc_id"), "_t": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts))})
+    placed = docs.withColumns({"_k": source_key(), "_s": size, "_h": F.xxhash64("doc_id"), "_t": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts))})
     on = (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_size")) & (F.col("_t") == F.col("_salt"))
     joined = placed.join(broadcast_if(named, n, BROADCAST_GROUPS), on)
     return joined.withColumn("_copies", F.col("_base") + F.coalesce((F.col("_h") <= F.col("_edge")).cast("long"), F.lit(0))).drop("_k", "_s", "_h", "_t", "_key", "_salt", "_base", "_edge")
@@ -121,7 +125,7 @@ def apply(docs: DataFrame, groups: DataFrame, n: int, salts: int) -> DataFrame:
 
 def balance(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, rate, copies for every row of docs."""
-    sized = cut(docs.select("doc_id", "source", _KEY.alias("key"), sizes(F.col("text")).alias("size")), "sizes")
+    sized = cut(docs.select("doc_id", "source", source_key().alias("key"), sizes(F.col("text")).alias("size")), "sizes")
     groups, n, salts = plan(sized.select("doc_id", "key", "size"), sized.count(), cap)
     out = apply(sized.select("doc_id", "source", "size"), groups, n, salts)
     return out.select("doc_id", "size", F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).alias("taken"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
@@ -129,7 +133,7 @@ def balance(docs: DataFrame, cap: int = CAP) -> DataFrame:
 
 def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """docs with each row repeated as often as the mix takes it, with the columns of docs."""
-    sized = cut(docs.select("doc_id", _KEY.alias("key"), sizes(F.col("text")).alias("size")), "sizes")
+    sized = cut(docs.select("doc_id", source_key().alias("key"), sizes(F.col("text")).alias("size")), "sizes")
     groups, n, salts = plan(sized, sized.count(), cap)
     taken = apply(docs, groups, n, salts).where("_copies > 0")
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).select(docs.columns)
