@@ -1,3 +1,372 @@
-"""Queries by name."""
+"""Queries by name: each takes (spark, folder of tables) and returns a DataFrame.
 
-QUERIES = {}
+Unless a query says otherwise its source is `documents`, arrival is by doc_id, blocks take their first CAP - 1 arrivals, weights
+w are shared blocks over all blocks of either end, and true pairs are candidates of token Jaccard TRUE or more.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairwright.functions.text import postings, rounded, token_sets
+from pairwright.operators import blocking, cleaning, clustering, evaluate, matching, pairs, prioritize, weighting
+from pairwright.plans import pipeline
+from pairwright.sources import profiles
+from pairwright.streaming import exact, incremental
+
+CAP = blocking.CAP
+BETA = 0.05
+RATIO = 0.8
+RHO = 0.5
+TRUE = 0.8
+INCREMENT = 100
+RUNS = 5
+
+
+class Base:
+    """The tables that queries share, as lazy plans."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    @cached_property
+    def source(self) -> DataFrame:
+        return profiles.profiles(profiles.read(self.spark, f"{self.dir}/documents.parquet"), "doc_id", ["text"])
+
+    @cached_property
+    def both(self) -> DataFrame:
+        second = profiles.profiles(profiles.read(self.spark, f"{self.dir}/benchmark.parquet"), "item_id", ["text"])
+        return profiles.interleave(self.source, second)
+
+    @cached_property
+    def kept(self) -> DataFrame:
+        return blocking.capped(postings(self.source), CAP)
+
+    @cached_property
+    def kept_two(self) -> DataFrame:
+        n1, n2 = (self.both.where(F.col("ds") == d).count() for d in (0, 1))
+        return blocking.capped_two(postings(self.both), RHO, n1, n2)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return pairs.dirty_pairs(self.kept)
+
+    @cached_property
+    def cbs(self) -> DataFrame:
+        return pairs.common_blocks(self.raw)
+
+    @cached_property
+    def js(self) -> DataFrame:
+        return weighting.jaccard_of_blocks(self.cbs, self.kept)
+
+    @cached_property
+    def by_cbs(self) -> DataFrame:
+        return self.cbs.select("e1", "e2", F.col("cbs").alias("w"))
+
+    @cached_property
+    def wnp2(self) -> DataFrame:
+        return cleaning.above_mean(self.cbs)
+
+    def scored(self, found: DataFrame, matcher: str = "js") -> DataFrame:
+        return matching.scored(pairs.with_tokens(found.select("e1", "e2"), token_sets(self.source)), matcher)
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        return self.scored(self.cbs).where(F.col("sim") >= TRUE).select("e1", "e2")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[Base], DataFrame]) -> Callable[[Base], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Base(spark, sf_dir))
+    return f
+
+
+@query
+def tokenize_documents(b: Base) -> DataFrame:
+    return postings(b.source).select("id", "token")
+
+
+@query
+def token_block_sizes(b: Base) -> DataFrame:
+    return blocking.block_sizes(postings(b.source))
+
+
+@query
+def block_comparison_count(b: Base) -> DataFrame:
+    return blocking.comparisons(postings(b.source))
+
+
+@query
+def block_comparison_count_clean_clean(b: Base) -> DataFrame:
+    return blocking.comparisons(postings(b.both), clean_clean=True)
+
+
+@query
+def block_pruning_arrival_order(b: Base) -> DataFrame:
+    return b.kept.select("token", "id", F.col("rn").cast("long").alias("rn"))
+
+
+@query
+def block_pruning_clean_clean(b: Base) -> DataFrame:
+    return b.kept_two.select("token", F.col("ds").cast("long").alias("ds"), "id")
+
+
+@query
+def block_ghosting(b: Base) -> DataFrame:
+    return blocking.ghosted(b.kept, BETA).select("id", "token", F.col("c").cast("long").alias("c"))
+
+
+@query
+def block_filtering(b: Base) -> DataFrame:
+    return blocking.filtered(b.kept, RATIO).select("id", "token", "n")
+
+
+@query
+def size_based_purging(b: Base) -> DataFrame:
+    return blocking.purged(postings(b.source), CAP)
+
+
+@query
+def raw_comparisons_dirty(b: Base) -> DataFrame:
+    return b.raw.groupBy(profiles.increment(INCREMENT, "e2").alias("increment")).agg(F.count(F.lit(1)).alias("comparisons"))
+
+
+@query
+def raw_comparisons_clean_clean(b: Base) -> DataFrame:
+    return pairs.clean_clean_pairs(b.kept_two).groupBy("e2").agg(F.count(F.lit(1)).alias("comparisons"))
+
+
+@query
+def cbs_pairs(b: Base) -> DataFrame:
+    return b.cbs
+
+
+@query
+def wnp(b: Base) -> DataFrame:
+    return cleaning.above_mean(b.cbs, strict=True)
+
+
+@query
+def wnp2(b: Base) -> DataFrame:
+    return b.wnp2
+
+
+@query
+def cnp(b: Base) -> DataFrame:
+    return cleaning.cardinality(b.cbs)
+
+
+def _w(df: DataFrame) -> DataFrame:
+    return df.select("e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def js_weight(b: Base) -> DataFrame:
+    return _w(b.js)
+
+
+@query
+def bjs_weight(b: Base) -> DataFrame:
+    return _w(weighting.jaccard_of_blocks(b.wnp2, b.kept, scale=100.0))
+
+
+@query
+def normalized_cbs(b: Base) -> DataFrame:
+    return _w(weighting.normalized(b.raw))
+
+
+@query
+def cbs_max(b: Base) -> DataFrame:
+    return _w(weighting.over_running_max(b.cbs))
+
+
+@query
+def arcs_weight(b: Base) -> DataFrame:
+    return _w(weighting.arcs(b.raw))
+
+
+@query
+def wep(b: Base) -> DataFrame:
+    return cleaning.edge_pruned(b.by_cbs)
+
+
+@query
+def cep(b: Base) -> DataFrame:
+    half = blocking.block_sizes(b.kept).agg(F.sum("n")).first()[0] or 0
+    return cleaning.edge_topped(b.by_cbs, half // 2)
+
+
+@query
+def reciprocal_wnp(b: Base) -> DataFrame:
+    return cleaning.node_pruned(b.by_cbs, both=True)
+
+
+@query
+def reciprocal_cnp(b: Base) -> DataFrame:
+    total = blocking.block_sizes(b.kept).agg(F.sum("n")).first()[0] or 0
+    return cleaning.node_topped(b.by_cbs, max(1, total // max(1, b.source.count())), both=True)
+
+
+@query
+def jaccard_match(b: Base) -> DataFrame:
+    return b.scored(b.wnp2).select("e1", "e2", rounded("sim").alias("sim"))
+
+
+@query
+def overlap_match(b: Base) -> DataFrame:
+    return b.scored(b.wnp2, "overlap").select("e1", "e2", rounded("sim").alias("sim"))
+
+
+@query
+def edit_distance_match(b: Base) -> DataFrame:
+    near = b.scored(b.wnp2).where("sim >= 0.3")
+    return near.select("e1", "e2", "t1", "t2").withColumn("d", matching.edit_distance()).select("e1", "e2", rounded("d").alias("ed_distance"), F.round(1 - F.col("d"), 6).alias("ed_similarity"))
+
+
+@query
+def ipcs_topk(b: Base) -> DataFrame:
+    return prioritize.global_top(b.js, 1000).select("rank", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def ipbs_order(b: Base) -> DataFrame:
+    return prioritize.block_order(b.raw).select("rank", "e1", "e2", "bp", "cbs")
+
+
+@query
+def ipes_rounds(b: Base) -> DataFrame:
+    return prioritize.rounds(b.js).select("rank", "e1", "e2", "round", F.col("tier").cast("long").alias("tier"), rounded("w").alias("w"))
+
+
+@query
+def iapcs_tiers(b: Base) -> DataFrame:
+    return prioritize.tiers(b.js).select("rank", "tier", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def local_sort_by_increment(b: Base) -> DataFrame:
+    return prioritize.by_increment(b.js, INCREMENT).select("increment", "rank", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def pgtc(b: Base) -> DataFrame:
+    return prioritize.global_top(b.by_cbs, 5000)
+
+
+@query
+def pltc(b: Base) -> DataFrame:
+    return prioritize.local_top(b.by_cbs, 5)
+
+
+@query
+def pbs(b: Base) -> DataFrame:
+    return prioritize.block_order(b.raw, by_token=True).select("rank", "e1", "e2", "bp", "token", "cbs")
+
+
+@query
+def pes(b: Base) -> DataFrame:
+    return prioritize.entity_order(b.by_cbs, 10).select("rank", F.col("stage").cast("long").alias("stage"), "entity", "e1", "e2", "w")
+
+
+@query
+def cep_cnp_union(b: Base) -> DataFrame:
+    total = blocking.block_sizes(b.kept).agg(F.sum("n")).first()[0] or 0
+    return prioritize.local_top(b.by_cbs, 10 * max(1, total // max(1, b.source.count())))
+
+
+@query
+def entity_weight_arcs(b: Base) -> DataFrame:
+    return prioritize.entity_weights(b.kept).select("id", rounded("w").alias("w"))
+
+
+@query
+def entity_rank(b: Base) -> DataFrame:
+    return prioritize.entity_ranks(b.by_cbs).select("id", rounded("mean_w").alias("mean_w"), "max_w")
+
+
+@query
+def block_rank(b: Base) -> DataFrame:
+    return prioritize.block_ranks(b.raw, b.by_cbs).select("token", rounded("mean_w").alias("mean_w"), "good")
+
+
+@query
+def bucket_queue_order(b: Base) -> DataFrame:
+    return prioritize.buckets(b.js).select("bucket", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def connected_components(b: Base) -> DataFrame:
+    return clustering.components(b.truth)
+
+
+@query
+def unique_mapping(b: Base) -> DataFrame:
+    found = pairs.common_blocks(pairs.clean_clean_pairs(b.kept_two))
+    scored = matching.scored(pairs.with_tokens(found.select("e1", "e2"), token_sets(b.both), 0, 1), "overlap")
+    return clustering.unique_mapping(scored, 0.1).select("e1", "e2", rounded("sim").alias("sim"))
+
+
+@query
+def pc_pq_metrics(b: Base) -> DataFrame:
+    return evaluate.completeness(b.wnp2.select("e1", "e2"), b.truth)
+
+
+@query
+def progressive_recall_curve(b: Base) -> DataFrame:
+    order, _ = prioritize.ranked(b.js, *prioritize.best())
+    return evaluate.recall_curve(order, b.truth)
+
+
+@query
+def recall_precision_at_threshold(b: Base) -> DataFrame:
+    return evaluate.at_threshold(b.scored(b.wnp2), b.truth, 0.5)
+
+
+@query
+def mean_comparison_size(b: Base) -> DataFrame:
+    return evaluate.mean_size(b.scored(b.wnp2)).select(rounded("mean_size").alias("mean_size"))
+
+
+@query
+def stream_incremental_cbs(b: Base) -> DataFrame:
+    return incremental.run(b.source, _streamed(b), CAP).select("e1", "e2", "cbs")
+
+
+def _streamed(b: Base) -> int:
+    """Arrivals in an increment when the source streams in RUNS of them."""
+    return max(1, -(-b.source.count() // RUNS))
+
+
+@query
+def stream_incremental_metrics(b: Base) -> DataFrame:
+    found = incremental.run(b.source, _streamed(b), CAP)
+    hits = evaluate.flagged(found, b.truth)
+    return hits.groupBy("increment").agg(F.count(F.lit(1)).alias("comparisons"), F.sum("hit").cast("long").alias("found"))
+
+
+@query
+def exact_ghosting_fold(b: Base) -> DataFrame:
+    return exact.exact_pairs(token_sets(b.source), CAP, BETA).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("cbs"))
+
+
+@query
+def clean_clean_end_to_end(b: Base) -> DataFrame:
+    found = pipeline.baseline(b.both, pipeline.Config(mode="clean_clean", rho=RHO))
+    return found.select("e1", "e2", rounded("sim").alias("sim"))
+
+
+@query
+def incremental_rerun_baseline(b: Base) -> DataFrame:
+    size = _streamed(b)
+    return pipeline.rerun(b.by_cbs, [size * (i + 1) for i in range(RUNS)], 1000)
+
+
+@query
+def fallback_block_walk(b: Base) -> DataFrame:
+    return prioritize.leftovers(b.raw, b.wnp2).select("e1", "e2", "bp", "cbs")

@@ -1,3 +1,124 @@
-"""SQL twins by name."""
+"""The catalogue's queries in SQL for DuckDB, from the same tables."""
 
-ORACLES = {}
+from __future__ import annotations
+
+from .catalogue import BETA, CAP, INCREMENT, RATIO, RHO, RUNS, TRUE
+
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[\W_]'), lambda x: length(x) > 0))"
+
+_PARTS = {
+    "s": ((), f"SELECT doc_id AS id, {_TOKENS.format(text='text')} AS ts FROM documents"),
+    "t": (("s",), "SELECT id, unnest(ts) AS token FROM s"),
+    "k": (("t",), f"SELECT * FROM (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY id) AS rn FROM t) WHERE rn < {CAP}"),
+    "kn": (("k",), "SELECT *, count(*) OVER (PARTITION BY token) AS n FROM k"),
+    "p": (("kn",), "SELECT a.id AS e1, b.id AS e2, a.token, a.n FROM kn a JOIN kn b ON a.token = b.token AND a.id < b.id"),
+    "c": (("p",), "SELECT e1, e2, count(*) AS cbs FROM p GROUP BY e1, e2"),
+    "nb": (("k",), "SELECT id, count(*) AS nb FROM k GROUP BY id"),
+    "j": (("c", "nb"), "SELECT e1, e2, cbs, cbs * 1.0::DOUBLE / (a.nb + b.nb - cbs) AS w FROM c JOIN nb a ON a.id = e1 JOIN nb b ON b.id = e2"),
+    "w2": (("c",), "SELECT e1, e2, cbs FROM (SELECT *, avg(cbs) OVER (PARTITION BY e2) AS m FROM c) WHERE cbs >= m"),
+    "sim": (("c", "s"), "SELECT e1, e2, a.ts AS t1, b.ts AS t2, len(list_intersect(a.ts, b.ts)) AS i FROM c JOIN s a ON a.id = e1 JOIN s b ON b.id = e2"),
+    "truth": (("sim",), f"SELECT e1, e2 FROM sim WHERE CASE WHEN len(t1) + len(t2) - i > 0 THEN i * 1.0::DOUBLE / (len(t1) + len(t2) - i) ELSE 0 END >= {TRUE}"),
+    "m2": (("w2", "s"), "SELECT e1, e2, a.ts AS t1, b.ts AS t2, len(list_intersect(a.ts, b.ts)) AS i FROM w2 JOIN s a ON a.id = e1 JOIN s b ON b.id = e2"),
+    "ms": (("m2",), "SELECT e1, e2, t1, t2, i, CASE WHEN len(t1) + len(t2) - i > 0 THEN i * 1.0::DOUBLE / (len(t1) + len(t2) - i) ELSE 0 END AS sim FROM m2"),
+    "sides": (("c",), "SELECT e1, e2, cbs AS w, e1 AS node, e2 AS other FROM c UNION ALL SELECT e1, e2, cbs, e2, e1 FROM c"),
+    "place": (("sides",), "SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS place, avg(w) OVER (PARTITION BY node) AS likelihood FROM sides"),
+    "least": (("p",), "SELECT e1, e2, min(struct_pack(bp := n * (n - 1) // 2, token := token)) AS l, count(*) AS cbs FROM p GROUP BY e1, e2"),
+    "s2": ((), f"SELECT 0 AS ds, doc_id AS id, doc_id * 2 AS seq, {_TOKENS.format(text='text')} AS ts FROM documents UNION ALL SELECT 1, item_id, item_id * 2 + 1, {_TOKENS.format(text='text')} FROM benchmark"),
+    "t2": (("s2",), "SELECT ds, id, seq, unnest(ts) AS token FROM s2"),
+    "v2": (("t2",), "SELECT *, CASE WHEN ds = 0 THEN count(*) FILTER (WHERE ds = 1) OVER w ELSE count(*) FILTER (WHERE ds = 0) OVER w END AS c FROM t2 WINDOW w AS (PARTITION BY token ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"),
+    "b2": (("v2",), f"SELECT *, min(CASE WHEN c >= 1 AND c + 1 >= {RHO} * (CASE WHEN ds = 0 THEN (SELECT count(*) FROM documents) ELSE (SELECT count(*) FROM benchmark) END) THEN seq END) OVER (PARTITION BY token) AS ban FROM v2"),
+    "k2": (("b2",), "SELECT token, ds, id, seq FROM b2 WHERE ban IS NULL OR seq < ban"),
+    "p2": (("k2",), "SELECT a.id AS e1, b.id AS e2, a.token FROM k2 a JOIN k2 b ON a.token = b.token AND a.ds = 0 AND b.ds = 1"),
+    "c2": (("p2",), "SELECT e1, e2, count(*) AS cbs FROM p2 GROUP BY e1, e2"),
+    "size": ((), f"SELECT greatest(1, CAST(ceil(count(*) / {RUNS}.0) AS BIGINT)) AS size FROM documents"),
+}
+
+
+def _sql(body: str, *parts: str) -> str:
+    """A query over the named parts, with all that they build on."""
+    need: list[str] = []
+
+    def add(name: str) -> None:
+        for below in _PARTS[name][0]:
+            add(below)
+        if name not in need:
+            need.append(name)
+
+    for part in parts:
+        add(part)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_PARTS[n][1]})" for n in need) + "\n" + body if need else body
+
+
+_K_SUM = "(SELECT sum(n) FROM (SELECT count(*) AS n FROM k GROUP BY token HAVING count(*) > 1))"
+_PER_NODE = f"greatest(1, {_K_SUM} // greatest(1, (SELECT count(*) FROM documents)))"
+_SIDE_TEST = "SELECT e1, e2, max(w) AS w FROM ({}) GROUP BY e1, e2 HAVING sum(ok) >= 2"
+_CODE = "chr(CAST(list_position(u, x) + 19967 AS INTEGER))"
+
+
+def _rerun() -> str:
+    """Each run's top pairs among those no earlier run took."""
+    parts = []
+    for i in range(RUNS):
+        skip = "".join(f" AND NOT EXISTS (SELECT 1 FROM r{j} WHERE r{j}.e1 = c.e1 AND r{j}.e2 = c.e2)" for j in range(i))
+        parts.append(f"r{i} AS (SELECT {i} AS run, row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, e1, e2, w FROM (SELECT e1, e2, cbs AS w FROM c WHERE e2 < {i + 1} * (SELECT size FROM size){skip} ORDER BY cbs DESC, e1, e2 LIMIT 1000))")
+    return _sql("SELECT 1", "c", "size").removesuffix("\nSELECT 1") + ",\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(RUNS))
+
+
+ORACLES: dict[str, str] = {
+    "tokenize_documents": _sql("SELECT id, token FROM t", "t"),
+    "token_block_sizes": _sql("SELECT token, count(*) AS n FROM t GROUP BY token HAVING count(*) > 1", "t"),
+    "block_comparison_count": _sql("SELECT count(*) AS blocks, CAST(coalesce(sum(n * (n - 1) // 2), 0) AS BIGINT) AS comparisons FROM (SELECT count(*) AS n FROM t GROUP BY token HAVING count(*) > 1)", "t"),
+    "block_comparison_count_clean_clean": _sql("SELECT count(*) AS blocks, CAST(coalesce(sum(n1 * n2), 0) AS BIGINT) AS comparisons FROM (SELECT count(*) FILTER (WHERE ds = 0) AS n1, count(*) FILTER (WHERE ds = 1) AS n2 FROM t2 GROUP BY token) WHERE n1 > 0 AND n2 > 0", "t2"),
+    "block_pruning_arrival_order": _sql("SELECT token, id, rn FROM k", "k"),
+    "block_pruning_clean_clean": _sql("SELECT token, CAST(ds AS BIGINT) AS ds, id FROM k2", "k2"),
+    "block_ghosting": _sql(f"SELECT id, token, c FROM (SELECT id, token, rn - 1 AS c, min(rn) OVER (PARTITION BY id) AS least FROM k WHERE rn > 1) WHERE (c + 1) * {BETA} < least", "k"),
+    "block_filtering": _sql(f"SELECT id, token, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, token) AS place, count(*) OVER (PARTITION BY id) AS k FROM kn WHERE n > 1) WHERE place <= ceil(k * {RATIO}::DOUBLE)", "kn"),
+    "size_based_purging": _sql(f"SELECT token, count(*) AS n, count(*) * (count(*) - 1) // 2 AS block_pairs FROM t GROUP BY token HAVING count(*) BETWEEN 2 AND {CAP}", "t"),
+    "raw_comparisons_dirty": _sql(f"SELECT e2 // {INCREMENT} AS increment, count(*) AS comparisons FROM p GROUP BY 1", "p"),
+    "raw_comparisons_clean_clean": _sql("SELECT e2, count(*) AS comparisons FROM p2 GROUP BY e2", "p2"),
+    "cbs_pairs": _sql("SELECT * FROM c", "c"),
+    "wnp": _sql("SELECT e1, e2, cbs FROM (SELECT *, avg(cbs) OVER (PARTITION BY e2) AS m FROM c) WHERE cbs > m", "c"),
+    "wnp2": _sql("SELECT * FROM w2", "w2"),
+    "cnp": _sql("SELECT e1, e2, cbs FROM (SELECT *, row_number() OVER (PARTITION BY e2 ORDER BY cbs DESC, e1) AS place, ceil(sum(cbs) OVER (PARTITION BY e2) * 1.0::DOUBLE / count(*) OVER (PARTITION BY e2) - 1) AS k FROM c) WHERE place <= k", "c"),
+    "js_weight": _sql("SELECT e1, e2, round(w, 6) AS w FROM j", "j"),
+    "bjs_weight": _sql("SELECT e1, e2, round(cbs * 100.0::DOUBLE / (a.nb + b.nb - cbs), 6) AS w FROM w2 JOIN nb a ON a.id = e1 JOIN nb b ON b.id = e2", "w2", "nb"),
+    "normalized_cbs": _sql("SELECT e1, e2, round(cbs * 1.0::DOUBLE / keys, 6) AS w FROM c JOIN (SELECT e2, count(DISTINCT token) AS keys FROM p GROUP BY e2) USING (e2)", "c"),
+    "cbs_max": _sql("SELECT e1, e2, round(cbs * 1.0::DOUBLE / greatest(1, m), 6) AS w FROM c JOIN (SELECT e2, max(max(cbs)) OVER (ORDER BY e2) AS m FROM c GROUP BY e2) USING (e2)", "c"),
+    "arcs_weight": _sql("SELECT e1, e2, round(sum(1.0::DOUBLE / (n * (n - 1) / 2)), 6) AS w FROM p GROUP BY e1, e2", "p"),
+    "wep": _sql("SELECT e1, e2, cbs AS w FROM c WHERE cbs >= (SELECT avg(cbs) FROM c)", "c"),
+    "cep": _sql(f"SELECT e1, e2, w FROM (SELECT e1, e2, cbs AS w, row_number() OVER (ORDER BY cbs DESC, e1, e2) AS place FROM c) WHERE place <= {_K_SUM} // 2", "c"),
+    "reciprocal_wnp": _sql(_SIDE_TEST.format("SELECT *, CAST(w >= likelihood AS INT) AS ok FROM place"), "place"),
+    "reciprocal_cnp": _sql(_SIDE_TEST.format(f"SELECT *, CAST(place <= {_PER_NODE} AS INT) AS ok FROM place"), "place"),
+    "jaccard_match": _sql("SELECT e1, e2, round(sim, 6) AS sim FROM ms", "ms"),
+    "overlap_match": _sql("SELECT e1, e2, CASE WHEN least(len(t1), len(t2)) > 0 THEN round(i * 1.0::DOUBLE / least(len(t1), len(t2)), 6) ELSE 0 END AS sim FROM m2", "m2"),
+    "edit_distance_match": _sql(f"SELECT e1, e2, round(d, 6) AS ed_distance, round(1 - d, 6) AS ed_similarity FROM (SELECT e1, e2, CASE WHEN greatest(len(t1), len(t2)) > 0 THEN levenshtein(array_to_string(list_transform(list_sort(t1), lambda x: {_CODE}), ''), array_to_string(list_transform(list_sort(t2), lambda x: {_CODE}), '')) * 1.0::DOUBLE / greatest(len(t1), len(t2)) ELSE 0 END AS d FROM (SELECT *, list_distinct(list_concat(t1, t2)) AS u FROM ms WHERE sim >= 0.3))", "ms"),
+    "ipcs_topk": _sql("SELECT row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, e1, e2, round(w, 6) AS w FROM (SELECT * FROM j ORDER BY w DESC, e1, e2 LIMIT 1000)", "j"),
+    "ipbs_order": _sql("SELECT row_number() OVER (ORDER BY l.bp, cbs DESC, e1, e2) AS rank, e1, e2, l.bp AS bp, cbs FROM least", "least"),
+    "ipes_rounds": _sql("SELECT row_number() OVER (ORDER BY round, v DESC, e1, e2) AS rank, e1, e2, round, CASE WHEN round <= 60 THEN 1 ELSE 2 END AS tier, round(v, 6) AS w FROM (SELECT e1, e2, min(place) AS round, max(w) AS v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS place FROM (SELECT e1, e2, w, e1 AS node, e2 AS other FROM j UNION ALL SELECT e1, e2, w, e2, e1 FROM j)) GROUP BY e1, e2)", "j"),
+    "iapcs_tiers": _sql("SELECT row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, ntile(4) OVER (ORDER BY w DESC, e1, e2) AS tier, e1, e2, round(w, 6) AS w FROM j", "j"),
+    "local_sort_by_increment": _sql(f"SELECT e2 // {INCREMENT} AS increment, row_number() OVER (PARTITION BY e2 // {INCREMENT} ORDER BY w DESC, e1, e2) AS rank, e1, e2, round(w, 6) AS w FROM j", "j"),
+    "pgtc": _sql("SELECT row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, e1, e2, w FROM (SELECT e1, e2, cbs AS w FROM c ORDER BY cbs DESC, e1, e2 LIMIT 5000)", "c"),
+    "pltc": _sql("SELECT row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, e1, e2, w FROM (SELECT DISTINCT e1, e2, w FROM place WHERE place <= 5)", "place"),
+    "pbs": _sql("SELECT row_number() OVER (ORDER BY l.bp, l.token, cbs DESC, e1, e2) AS rank, e1, e2, l.bp AS bp, l.token AS token, cbs FROM least", "least"),
+    "pes": _sql(
+        "SELECT row_number() OVER (ORDER BY stage, likelihood DESC, entity, w DESC, e1, e2) AS rank, stage, entity, e1, e2, w FROM ("
+        "SELECT DISTINCT 1 AS stage, 0.0::DOUBLE AS likelihood, 0 AS entity, e1, e2, w FROM place WHERE place = 1 UNION ALL "
+        "SELECT 2, likelihood, node, e1, e2, w FROM (SELECT *, row_number() OVER (PARTITION BY e1, e2 ORDER BY likelihood DESC, node) AS o FROM place WHERE place BETWEEN 2 AND 11 AND (e1, e2) NOT IN (SELECT (e1, e2) FROM place WHERE place = 1)) WHERE o = 1)", "place"),
+    "cep_cnp_union": _sql(f"SELECT row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, e1, e2, w FROM (SELECT DISTINCT e1, e2, w FROM place WHERE place <= 10 * {_PER_NODE})", "place"),
+    "entity_weight_arcs": _sql("SELECT id, round(sum(1.0::DOUBLE / (n * (n - 1) / 2)), 6) AS w FROM kn WHERE n > 1 GROUP BY id", "kn"),
+    "entity_rank": _sql("SELECT node AS id, round(avg(w), 6) AS mean_w, max(w) AS max_w FROM sides GROUP BY node", "sides"),
+    "block_rank": _sql("SELECT token, round(m, 6) AS mean_w, round(m, 9) > (SELECT avg(round(m, 9)) FROM b) AS good FROM b".replace("FROM b)", "FROM (SELECT avg(cbs) AS m FROM p JOIN c USING (e1, e2) GROUP BY token))").replace(" FROM b", " FROM (SELECT token, avg(cbs) AS m FROM p JOIN c USING (e1, e2) GROUP BY token)"), "c"),
+    "bucket_queue_order": _sql("SELECT CAST(least(10, floor(w * 10)) AS BIGINT) AS bucket, e1, e2, round(w, 6) AS w FROM j", "j"),
+    "connected_components": _sql(
+        "SELECT id, min(o) AS cluster FROM reach GROUP BY id".replace("reach", "r"), "truth").replace(
+        "\nSELECT id", ",\ne AS (SELECT e1 AS a, e2 AS b FROM truth UNION SELECT e2, e1 FROM truth),\nr AS (SELECT a AS id, a AS o FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a)\nSELECT id"),
+    "pc_pq_metrics": _sql("SELECT comparisons, found, truth, coalesce(round(found * 1.0::DOUBLE / nullif(truth, 0), 6), 0) AS pc, coalesce(round(found * 1.0::DOUBLE / nullif(comparisons, 0), 6), 0) AS pq FROM (SELECT (SELECT count(*) FROM w2) AS comparisons, (SELECT count(*) FROM w2 JOIN truth USING (e1, e2)) AS found, (SELECT count(*) FROM truth) AS truth)", "w2", "truth"),
+    "progressive_recall_curve": _sql("SELECT rank, e1, e2, count(*) OVER (ORDER BY rank) AS found, round(count(*) OVER (ORDER BY rank) * 1.0::DOUBLE / (SELECT count(*) FROM truth), 6) AS pc FROM (SELECT e1, e2, row_number() OVER (ORDER BY w DESC, e1, e2) AS rank FROM j) JOIN truth USING (e1, e2)", "j", "truth"),
+    "recall_precision_at_threshold": _sql("SELECT count(*) AS matches, count(*) FILTER (WHERE h) AS true_matches, coalesce(round(count(*) FILTER (WHERE h) * 1.0::DOUBLE / nullif((SELECT count(*) FROM truth), 0), 6), 0) AS recall, coalesce(round(count(*) FILTER (WHERE h) * 1.0::DOUBLE / nullif(count(*), 0), 6), 0) AS precision FROM (SELECT ms.e1, ms.e2, truth.e1 IS NOT NULL AS h FROM ms LEFT JOIN truth ON ms.e1 = truth.e1 AND ms.e2 = truth.e2 WHERE sim >= 0.5)", "ms", "truth"),
+    "mean_comparison_size": _sql("SELECT round(avg(len(t1) + len(t2)), 6) AS mean_size FROM m2", "m2"),
+    "stream_incremental_cbs": _sql("SELECT * FROM c", "c"),
+    "stream_incremental_metrics": _sql("SELECT c.e2 // (SELECT size FROM size) AS increment, count(*) AS comparisons, count(truth.e1) AS found FROM c LEFT JOIN truth ON c.e1 = truth.e1 AND c.e2 = truth.e2 GROUP BY 1", "c", "truth", "size"),
+    "clean_clean_end_to_end": _sql("SELECT e1, e2, round(CASE WHEN len(a.ts) + len(b.ts) > 0 THEN len(list_intersect(a.ts, b.ts)) * 1.0::DOUBLE / (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))) ELSE 0 END, 6) AS sim FROM (SELECT e1, e2 FROM (SELECT *, avg(cbs) OVER (PARTITION BY e2) AS m FROM c2) WHERE cbs >= m) JOIN s2 a ON a.ds = 0 AND a.id = e1 JOIN s2 b ON b.ds = 1 AND b.id = e2", "c2"),
+    "incremental_rerun_baseline": _rerun(),
+    "fallback_block_walk": _sql("SELECT e1, e2, l.bp AS bp, cbs FROM least WHERE (e1, e2) NOT IN (SELECT (e1, e2) FROM w2)", "least", "w2"),
+}
