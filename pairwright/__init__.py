@@ -1 +1,8 @@
 """Budget-aware entity resolution on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers with the plan, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
