@@ -26,6 +26,8 @@ from .common import WORD, broadcast_if, cut, documents, drop
 CAP = 3
 SALT_ROWS = 1_000_000
 ITERATIONS = 80
+#: Sums that steer the iterations are decimals, so their result doesn't depend on the order of partitions.
+EXACT = "decimal(30,6)"
 #: Groups of (source, size, salt) broadcast at most, about 40 bytes each.
 BROADCAST_GROUPS = 500_000
 
@@ -41,7 +43,7 @@ def sizes(text: Column) -> Column:
 
 def targets(counts: DataFrame, cap: int = CAP) -> DataFrame:
     """(key, total, scale, target) from counts (key, size, c)."""
-    by = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("c")).alias("total"), F.sum(F.col("size").cast("double") * F.col("size") * F.col("c")).alias("square"))
+    by = counts.groupBy("key").agg(F.sum(F.col("size") * F.col("c")).alias("total"), F.sum((F.col("size") * F.col("size")).cast("decimal(30,0)") * F.col("c")).cast("double").alias("square"))
     rank = F.row_number().over(Window.orderBy(F.col("key") == "", "key"))
     by = by.withColumn("weight", (rank - 1) % 3 + 1).withColumn("ratio", F.col("total") * cap / F.col("weight"))
     every, before = Window.partitionBy(), Window.orderBy("ratio", "key").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,8 +69,9 @@ def solve(counts: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
         if state.where("NOT done").isEmpty():
             break
         rate, slope = _rate(cap), F.col("size") / F.col("scale")
-        taken = F.sum(F.col("c") * F.col("size") * rate).alias("taken")
-        curve = F.sum(F.when(rate < cap, F.col("c") * F.col("size") * slope * rate).otherwise(0.0)).alias("curve")
+        words = F.col("c") * F.col("size") * rate
+        taken = F.sum(words.cast(EXACT)).cast("double").alias("taken")
+        curve = F.sum(F.when(rate < cap, words * slope).otherwise(0.0).cast(EXACT)).cast("double").alias("curve")
         step = used.join(state.where("NOT done").select("key", "scale", "lam"), "key").groupBy("key").agg(taken, curve)
         s = state.join(step, "key", "left").withColumn("off", F.coalesce(F.col("taken") - F.col("target"), "off"))
         s = s.withColumns({"lo": F.when(F.col("off") < 0, F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("off") > 0, F.col("lam")).otherwise(F.col("hi"))})
