@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality rules, near-duplicates, decontamination, source mixing and sharding, stage by stage."""
+"""Corpus pipeline: quality rules, near-duplicates, benchmark decontamination, source mixing and sharding.
+
+Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last return the columns of
+docs. The last returns the manifest of the shards: where each row of the mix lies.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from pairwright.llm import decontamination, dedup, mixing, quality, sharding
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the base rules or the thresholds of their language and source reject."""
+    return quality.filter_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8), that with the least doc_id."""
+    return dedup.keep_one(docs, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item, verbatim or with other numbers, names and units."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def feistel_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of the mix."""
+    return sharding.shard(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("feistel_sharding", feistel_sharding),
+]
+
+#: Sketches, components, Newton iterations and the permutation have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next reads it."""
+    from pairwright.llm.common import cut
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
