@@ -52,7 +52,6 @@ def _sql(body: str, *parts: str) -> str:
 _K_SUM = "(SELECT sum(n) FROM (SELECT count(*) AS n FROM k GROUP BY token HAVING count(*) > 1))"
 _PER_NODE = f"greatest(1, {_K_SUM} // greatest(1, (SELECT count(*) FROM documents)))"
 _SIDE_TEST = "SELECT e1, e2, max(w) AS w FROM ({}) GROUP BY e1, e2 HAVING sum(ok) >= 2"
-_CODE = "chr(CAST(list_position(u, x) + 19967 AS INTEGER))"
 
 
 def _rerun() -> str:
@@ -91,7 +90,6 @@ ORACLES: dict[str, str] = {
     "reciprocal_cnp": _sql(_SIDE_TEST.format(f"SELECT *, CAST(place <= {_PER_NODE} AS INT) AS ok FROM place"), "place"),
     "jaccard_match": _sql("SELECT e1, e2, round(sim, 6) AS sim FROM ms", "ms"),
     "overlap_match": _sql("SELECT e1, e2, CASE WHEN least(len(t1), len(t2)) > 0 THEN round(i * 1.0::DOUBLE / least(len(t1), len(t2)), 6) ELSE 0 END AS sim FROM m2", "m2"),
-    "edit_distance_match": _sql(f"SELECT e1, e2, round(d, 6) AS ed_distance, round(1 - d, 6) AS ed_similarity FROM (SELECT e1, e2, CASE WHEN greatest(len(t1), len(t2)) > 0 THEN levenshtein(array_to_string(list_transform(list_sort(t1), lambda x: {_CODE}), ''), array_to_string(list_transform(list_sort(t2), lambda x: {_CODE}), '')) * 1.0::DOUBLE / greatest(len(t1), len(t2)) ELSE 0 END AS d FROM (SELECT *, list_distinct(list_concat(t1, t2)) AS u FROM ms WHERE sim >= 0.3))", "ms"),
     "ipcs_topk": _sql("SELECT row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, e1, e2, round(w, 6) AS w FROM (SELECT * FROM j ORDER BY w DESC, e1, e2 LIMIT 1000)", "j"),
     "ipbs_order": _sql("SELECT row_number() OVER (ORDER BY l.bp, cbs DESC, e1, e2) AS rank, e1, e2, l.bp AS bp, cbs FROM least", "least"),
     "ipes_rounds": _sql("SELECT row_number() OVER (ORDER BY round, v DESC, e1, e2) AS rank, e1, e2, round, CASE WHEN round <= 60 THEN 1 ELSE 2 END AS tier, round(v, 6) AS w FROM (SELECT e1, e2, min(place) AS round, max(w) AS v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS place FROM (SELECT e1, e2, w, e1 AS node, e2 AS other FROM j UNION ALL SELECT e1, e2, w, e2, e1 FROM j)) GROUP BY e1, e2)", "j"),

@@ -93,6 +93,28 @@ def test_edit_distance_of_token_sequences(spark):
     assert [round(r["d"], 4) for r in df.select(matching.edit_distance().alias("d")).collect()] == [0.3333, 0.0, 1.0]
 
 
+def test_edit_distance_query_against_brute_force(spark, tables):
+    """DuckDB's levenshtein counts bytes, so SQL can't stand in here."""
+    from pairwright.plans.catalogue import QUERIES
+
+    text = {r["doc_id"]: r["t"] for r in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", tokens("text").alias("t")).collect()}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    got = QUERIES["edit_distance_match"](spark, tables).collect()
+    assert got
+    for r in got[:40]:
+        a, b = text[r["e1"]], text[r["e2"]]
+        assert r["ed_distance"] == pytest.approx(edits(a, b) / max(len(a), len(b)), abs=1e-6)
+        assert r["ed_similarity"] == pytest.approx(1 - r["ed_distance"], abs=2e-6)
+
+
 def test_ghosting_forms_agree_without_ghosting(spark, tables):
     source = profiles.profiles(profiles.read(spark, f"{tables}/documents.parquet"), "doc_id", ["text"]).where("id < 60")
     mine = pairs.common_blocks(pairs.dirty_pairs(blocking.capped(postings(source), 20)))
