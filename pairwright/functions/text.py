@@ -14,9 +14,10 @@ def tokens(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda t: F.length(t) > 0)))
 
 
-def token_sets(source: DataFrame) -> DataFrame:
-    """(ds, id, seq, tokens)"""
-    return source.select("ds", "id", "seq", tokens("text").alias("tokens"))
+def token_sets(source: DataFrame, hashed: bool = False) -> DataFrame:
+    """(ds, id, seq, tokens); hashed: tokens as 64-bit hashes, which set operations handle faster and which travel lighter."""
+    sets = source.select("ds", "id", "seq", tokens("text").alias("tokens"))
+    return sets.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t))) if hashed else sets
 
 
 def postings(source: DataFrame) -> DataFrame:

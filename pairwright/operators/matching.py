@@ -12,6 +12,17 @@ def jaccard() -> Column:
     return F.when(union > 0, common / union).otherwise(0.0)
 
 
+def may_reach(pairs: DataFrame, kept: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (e1, e2, cbs) of one source whose Jaccard may reach the threshold, by counts alone: tokens that both have but don't
+    share as blocks were refused to the later arrival, so there are at most as many as it lost. sizes: (id, n) tokens."""
+    counts = sizes.join(kept.groupBy("id").agg(F.count(F.lit(1)).alias("nb")), "id", "left").select("id", "n", (F.col("n") - F.coalesce("nb", F.lit(0))).alias("lost"))
+    one = counts.select(F.col("id").alias("e1"), F.col("n").alias("n1"))
+    two = counts.select(F.col("id").alias("e2"), F.col("n").alias("n2"), F.col("lost").alias("lost2"))
+    most = F.least("n1", "n2", F.col("cbs") + F.col("lost2"))
+    reach = most >= (F.col("n1") + F.col("n2") - most) * (threshold - 1e-9)
+    return pairs.join(one, "e1").join(two, "e2").where(reach).select("e1", "e2", "cbs")
+
+
 def overlap() -> Column:
     least = F.least(F.size("t1"), F.size("t2"))
     return F.when(least > 0, F.size(F.array_intersect("t1", "t2")) / least).otherwise(0.0)

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.sources.storage import broadcast_if
+
 
 def dirty_pairs(kept: DataFrame) -> DataFrame:
     """(e1, e2, token, n): e1 arrived before e2."""
@@ -28,11 +30,17 @@ def common_blocks(raw: DataFrame) -> DataFrame:
     return raw.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("cbs"))
 
 
+#: Tokens of all sets together up to which the sets are broadcast (8 bytes each when hashed, some 25 as strings).
+BROADCAST_TOKENS = 4_000_000
+
+
 def with_tokens(pairs: DataFrame, sets: DataFrame, ds1: int = 0, ds2: int = 0) -> DataFrame:
-    """Pairs with both token arrays, t1 and t2, joined late: ids travel alone until here."""
+    """Pairs with both token arrays, t1 and t2, joined late: ids travel alone until here. Sets are broadcast only while their
+    counted tokens are few; beyond it the joins shuffle."""
+    total = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
     one = sets.where(F.col("ds") == ds1).select(F.col("id").alias("e1"), F.col("tokens").alias("t1"))
     two = sets.where(F.col("ds") == ds2).select(F.col("id").alias("e2"), F.col("tokens").alias("t2"))
-    return pairs.join(one, "e1").join(two, "e2")
+    return pairs.join(broadcast_if(one, total, BROADCAST_TOKENS), "e1").join(broadcast_if(two, total, BROADCAST_TOKENS), "e2")
 
 
 def unseen(pairs: DataFrame, executed: DataFrame) -> DataFrame:

@@ -71,12 +71,18 @@ class Base:
     def wnp2(self) -> DataFrame:
         return cleaning.above_mean(self.cbs)
 
+    @cached_property
+    def sets(self) -> DataFrame:
+        return token_sets(self.source, hashed=True)
+
     def scored(self, found: DataFrame, matcher: str = "js") -> DataFrame:
-        return matching.scored(pairs.with_tokens(found.select("e1", "e2"), token_sets(self.source)), matcher)
+        return matching.scored(pairs.with_tokens(found.select("e1", "e2"), self.sets), matcher)
 
     @cached_property
     def truth(self) -> DataFrame:
-        return self.scored(self.cbs).where(F.col("sim") >= TRUE).select("e1", "e2")
+        sizes = self.sets.select("id", F.size("tokens").alias("n"))
+        near = matching.may_reach(self.cbs, self.kept, sizes, TRUE)
+        return self.scored(near).where(F.col("sim") >= TRUE).select("e1", "e2")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,8 +231,8 @@ def overlap_match(b: Base) -> DataFrame:
 
 @query
 def edit_distance_match(b: Base) -> DataFrame:
-    near = b.scored(b.wnp2).where("sim >= 0.3")
-    return near.select("e1", "e2", "t1", "t2").withColumn("d", matching.edit_distance()).select("e1", "e2", rounded("d").alias("ed_distance"), F.round(1 - F.col("d"), 6).alias("ed_similarity"))
+    near = b.scored(b.wnp2).where("sim >= 0.3").select("e1", "e2")
+    return pairs.with_tokens(near, token_sets(b.source)).withColumn("d", matching.edit_distance()).select("e1", "e2", rounded("d").alias("ed_distance"), F.round(1 - F.col("d"), 6).alias("ed_similarity"))
 
 
 @query
@@ -308,7 +314,7 @@ def connected_components(b: Base) -> DataFrame:
 @query
 def unique_mapping(b: Base) -> DataFrame:
     found = pairs.common_blocks(pairs.clean_clean_pairs(b.kept_two))
-    scored = matching.scored(pairs.with_tokens(found.select("e1", "e2"), token_sets(b.both), 0, 1), "overlap")
+    scored = matching.scored(pairs.with_tokens(found.select("e1", "e2"), token_sets(b.both, hashed=True), 0, 1), "overlap")
     return clustering.unique_mapping(scored, 0.1).select("e1", "e2", rounded("sim").alias("sim"))
 
 

@@ -65,7 +65,7 @@ def baseline(source: DataFrame, config: Config = Config()) -> DataFrame:
     _, raw = candidates(source, config)
     cleaned = cleaning.CLEANERS[config.cleaning](pairs.common_blocks(raw))
     d2 = 1 if config.mode == "clean_clean" else 0
-    return matching.scored(pairs.with_tokens(cleaned.select("e1", "e2"), token_sets(source), 0, d2), config.matcher).select("e1", "e2", "sim")
+    return matching.scored(pairs.with_tokens(cleaned.select("e1", "e2"), token_sets(source, hashed=config.matcher != "ed"), 0, d2), config.matcher).select("e1", "e2", "sim")
 
 
 def progressive(source: DataFrame, config: Config = Config()) -> DataFrame:
@@ -80,7 +80,7 @@ def progressive(source: DataFrame, config: Config = Config()) -> DataFrame:
     first = ordered(raw, weighed, config)
     if config.budget is not None:
         first = first.where(F.col("rank") <= config.budget)
-    return matching.scored(pairs.with_tokens(first.select("rank", "e1", "e2", "w"), token_sets(source), 0, d2), config.matcher).select("rank", "e1", "e2", "w", "sim")
+    return matching.scored(pairs.with_tokens(first.select("rank", "e1", "e2", "w"), token_sets(source, hashed=config.matcher != "ed"), 0, d2), config.matcher).select("rank", "e1", "e2", "w", "sim")
 
 
 def streaming(source: DataFrame, config: Config = Config()) -> DataFrame:
