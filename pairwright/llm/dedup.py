@@ -5,16 +5,21 @@
    copies cost one row.
 2. The PUBLISH least values of a class go to inverted lists. A list of up to LIST classes yields its pairs. A longer list (a
    passage that many texts share, or a large group of near copies) never does: each member meets one leader of the list, and
-   classes of which at least half of the values lie in long lists also publish runs of adjacent sketch values, which texts
-   that merely share a passage hardly have in common.
+   classes of which CROWDED or more of the values lie in long lists are crowded: a pair of two such classes may have none but
+   long lists in common. Crowded classes also publish a prefix of their full shingle set, rarest shingle first, as long as the
+   threshold asks for: linked sets always share a shingle of it (prefix filtering, Chaudhuri et al. 2006), and what a variant
+   of a text has of its own comes first, so texts that merely share passages, or differ too much, have nothing in common there.
+   Its lists are treated like the others, with the positional bound on what two sets can still share.
 3. The overlap of the union sketch estimates the Jaccard similarity; pairs more than five standard deviations below the
    threshold go.
 4. Exact Jaccard on full sets decides. First one pair per class, then those whose classes are still apart; pairs inside one
    component can't change the result and are not looked at.
-5. What long run lists still hold is settled exactly: while such a list spans several components, members outside its largest
-   one are compared with all members of the others, so every pair that might join two components is tried. There is no cap.
+5. What long prefix lists still hold is settled exactly: while such a list spans several components, members outside its
+   largest one are compared with all members of the others, so every pair that might join two components is tried. There is no
+   cap.
 
-Linked texts (similarity 0.8 or more) that share no value or run have a probability under 1e-7; everything else is exact.
+The only chance is in step 2: linked texts one of which isn't crowded have no short list in common with a probability under
+1e-6 at the threshold, and less above it; everything else is exact.
 
 Defined results: null or empty texts and texts without words have an empty set and are linked with nothing, each its own
 component; repeated rows are members of one class; extra columns are ignored.
@@ -38,7 +43,7 @@ WORDS = 5
 SKETCH = 48
 PUBLISH = 32
 LIST = 32
-RUN = 3
+CROWDED = 0.4
 #: Ids broadcast at most to pick the texts whose full sets are needed (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _PLACES = random_table(WORDS, 41)
@@ -99,18 +104,20 @@ def scanned(docs: DataFrame, keep: int | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_scan(keep), f"doc_id {kind}, node binary, n long, hashes array<long>")
 
 
-def _close(percent: int):
-    """The size ratio that a similarity of percent needs."""
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def _close(a, b, percent: int):
+    """Whether two members (n, left) may reach the threshold: by their sizes, and by how many shingles are left at the one they
+    have in common (with none known, left is the size)."""
+    sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
+    return sizes & (F.least(a["left"], b["left"]) * (100 + percent) >= (a["n"] + b["n"]) * percent)
 
 
 def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of lists (key, node, n) that are known to be short, close in size."""
-    grouped = lists.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node"))).alias("members"))
+    """Pairs (a, b) of lists (key, node, n, left) that are known to be short."""
+    grouped = lists.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node", "left"))).alias("members"))
 
     def pairs(members):
         def of(x, i):
-            later = F.filter(F.slice(members, i + 2, F.lit(LIST)), lambda y: x["n"] * 100 >= y["n"] * percent)
+            later = F.filter(F.slice(members, i + 2, F.lit(LIST)), lambda y: _close(x, y, percent))
             return F.transform(later, lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
 
         return F.flatten(F.transform(members, of))
@@ -119,10 +126,11 @@ def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(lists: DataFrame, percent: int) -> DataFrame:
-    """Each member of a list (key, node, n) with the leader of the list."""
-    leaders = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("node"), F.col("n"))).alias("lead"))
-    met = lists.join(leaders, "key").select("node", F.col("n").alias("na"), F.col("lead.node").alias("other"), F.col("lead.n").alias("nb"))
-    return met.where((F.col("node") != F.col("other")) & _close(percent)).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    """Each member of a list (key, node, n, left) with the leader of the list: the member that has most shingles left, so of a
+    group of variants one near their origin."""
+    leaders = lists.groupBy("key").agg(F.max(F.struct("left", F.xxhash64("node", "key").alias("h"), "node", "n")).alias("lead"))
+    met = lists.withColumn("me", F.struct("node", "n", "left")).join(leaders, "key").where((F.col("node") != F.col("lead.node")) & _close(F.col("me"), F.col("lead"), percent))
+    return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -141,11 +149,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.size("ha") + F.size("hb") - F.col("i")) * percent).select("a", "b")
 
 
-def _runs(sketches: DataFrame, length: int) -> DataFrame:
-    """(key, node, n) for each run of adjacent sketch values; shorter sketches are one run."""
-    last = F.greatest(F.size("hashes") - length + 1, F.lit(1))
-    keys = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("hashes", i, length)))
-    return sketches.select(F.explode(F.array_distinct(keys)).alias("key"), "node", "n")
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, left) for the rarest shingles of each full set, as many as any linked set must share one of; left counts
+    the set from that shingle on. Shingles that no other set has are dropped after they took their places."""
+    each = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    at = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
+    placed = each.join(often, "key").withColumn("left", F.col("n") - at + 1)
+    return placed.where((F.col("left") * 100 >= F.col("n") * percent) & (F.col("df") > 1)).select("key", "node", F.col("n").cast("long").alias("n"), F.col("left").cast("long").alias("left"))
 
 
 def _sized(lists: DataFrame) -> DataFrame:
@@ -162,6 +173,8 @@ class _Links:
 
     def add(self, pairs: DataFrame) -> None:
         found = cut(_verified(pairs, self.sets, self.percent), "links")
+        if self.labels is not None and found.isEmpty():
+            return
         self.edges = found if self.edges is None else self.edges.union(found)
         self.labels = cut(components(self.edges), "labels")
 
@@ -173,8 +186,8 @@ class _Links:
 
 
 def _settle(links: _Links, long: DataFrame) -> None:
-    """Compare across the components of each long list (key, node, n) until every pair that could join two was tried."""
-    used, step = None, 8
+    """Compare across the components of each long list (key, node, n, left) until every pair that could join two was tried."""
+    used, step = None, 32
     while True:
         at = long.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         per = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
@@ -184,15 +197,15 @@ def _settle(links: _Links, long: DataFrame) -> None:
         if used is not None:
             minor = minor.join(used, ["key", "node"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node"))
-        chosen = cut(minor.withColumn("rank", rank).where(F.col("rank") <= step).select("key", F.col("node").alias("lead"), F.col("n").alias("na"), F.col("label").alias("own")), "leaders")
+        chosen = cut(minor.withColumn("rank", rank).where(F.col("rank") <= step).select("key", F.struct("node", "n", "left").alias("lead"), F.col("label").alias("own")), "leaders")
         if chosen.isEmpty():
             return
-        met = mixed.select("key", "node", F.col("n").alias("nb"), "label").join(chosen, "key").where((F.col("label") != F.col("own")) & _close(links.percent))
-        pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        met = mixed.select("key", F.struct("node", "n", "left").alias("me"), "label").join(chosen, "key").where((F.col("label") != F.col("own")) & _close(F.col("me"), F.col("lead"), links.percent))
+        pairs = met.select(F.least("me.node", "lead.node").alias("a"), F.greatest("me.node", "lead.node").alias("b")).distinct()
         pairs = cut(_estimated(pairs, links.sketches, links.percent), "settle")
         if not pairs.isEmpty():
             links.add(pairs)
-        took = chosen.select("key", F.col("lead").alias("node"))
+        took = chosen.select("key", F.col("lead.node").alias("node"))
         used = took if used is None else used.union(took)
         step *= 4
 
@@ -202,39 +215,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets is at least percent / 100, and component_id is the least doc_id that links and equal texts reach."""
     rows = cut(scanned(docs, SKETCH), "sketches")
     sketches = cut(rows.where("n > 0").select("node", "n", "hashes").dropDuplicates(["node"]), "classes")
-    published = sketches.select(F.explode(F.slice("hashes", 1, PUBLISH)).alias("key"), "node", "n", F.least(F.size("hashes"), F.lit(PUBLISH)).alias("p"))
+    published = sketches.select(F.explode(F.slice("hashes", 1, PUBLISH)).alias("key"), "node", "n", F.col("n").alias("left"), F.least(F.size("hashes"), F.lit(PUBLISH)).alias("p"))
     lists = cut(_sized(published), "lists")
     found = _all_pairs(lists.where(F.col("c") <= LIST), percent)
     hot = lists.where(F.col("c") > LIST)
-    long = None
-    if not hot.isEmpty():
-        found = found.union(_stars(hot, percent))
-        most = hot.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("p").alias("p")).where("2 * k >= p")
-        crowded = cut(sketches.join(most.select("node"), "node", "left_semi"), "crowded")
-        runs = cut(_sized(_runs(crowded, RUN)), "runs")
-        long = runs.where(F.col("c") > LIST)
-        found = found.union(_all_pairs(runs.where(F.col("c") <= LIST), percent)).union(_stars(long, percent))
-    pairs = cut(_estimated(found.distinct(), sketches, percent), "pairs")
-    nodes = pairs.select("a").union(pairs.select("b"))
-    if long is not None:
-        nodes = nodes.union(long.select("node"))
+    found = cut(_estimated(found.union(_stars(hot, percent)).distinct(), sketches, percent), "pairs")
+    crowded = cut(hot.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("p").alias("p")).where(F.col("k") >= F.col("p") * CROWDED).select("node"), "crowded")
     first = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    wanted = cut(first.join(nodes.distinct().withColumnRenamed("a", "node"), "node", "left_semi").select("node", F.col("first").alias("doc_id")), "wanted")
-    ids = broadcast_if(wanted.select(F.col("doc_id").alias("wanted")).distinct(), wanted.count(), BROADCAST_IDS)
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = cut(scanned(texts, None).join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    sets = cut(_full_sets(docs, first, found.select("a").union(found.select("b")).union(crowded).distinct()), "sets")
+    long = None
+    if not crowded.isEmpty():
+        prefixes = cut(_sized(_prefixes(sets.join(crowded, "node", "left_semi"), percent)), "prefixes")
+        long = prefixes.where(F.col("c") > LIST).drop("c")
+        more = _all_pairs(prefixes.where(F.col("c") <= LIST), percent).union(_stars(long, percent)).distinct()
+        found = cut(found.union(_estimated(more, sketches, percent)).distinct(), "pairs")
     links = _Links(sketches, sets, percent)
-    links.add(pairs.groupBy("b").agg(F.min("a").alias("a")))
-    rest = cut(links.apart(pairs), "rest")
+    links.add(found.groupBy("b").agg(F.min("a").alias("a")))
+    rest = cut(links.apart(found), "rest")
     if not rest.isEmpty():
         links.add(rest)
     if long is not None:
-        _settle(links, long.select("key", "node", "n"))
-    for x in (sets, lists, pairs):
+        _settle(links, long)
+    for x in (sets, lists, found):
         drop(x)
     return _members(rows, first, links.labels)
 
 
+def _full_sets(docs: DataFrame, first: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes) of nodes, from the text of one document of each."""
+    wanted = cut(first.join(nodes.toDF("node"), "node", "left_semi").select("node", F.col("first").alias("wanted")), "wanted")
+    ids = broadcast_if(wanted.select("wanted").distinct(), wanted.count(), BROADCAST_IDS)
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    return scanned(texts, None).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "hashes")
+
+
 def _members(rows: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
     """Classes that stand alone need no join; for the others the least doc_id of the component comes by class."""
     joined = first.join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node"))
@@ -244,6 +258,19 @@ def _members(rows: DataFrame, first: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the least doc_id, with the columns of docs. Of rows that
+    share this doc_id, one of each text stays."""
+    ids = near_duplicates(docs, percent).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("keep"), F.count(F.lit(1)).alias("n"))
+    ids = cut(ids.where("NOT keep OR n > 1").select(F.col("doc_id").alias("_id"), "keep"), "dropped")
+    n = ids.count()
+    out = docs.join(broadcast_if(ids.select("_id"), n, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    again = ids.where("keep").select("_id")
+    if again.isEmpty():
+        return out
+    return out.unionByName(docs.join(broadcast_if(again, n, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir), percent=85)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
