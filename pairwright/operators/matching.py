@@ -28,16 +28,29 @@ def overlap() -> Column:
     return F.when(least > 0, F.size(F.array_intersect("t1", "t2")) / least).otherwise(0.0)
 
 
-def _spelled(tokens: Column, alphabet: Column) -> Column:
-    """A string with one character for each token: its place in the alphabet, as a code point of the upper planes."""
-    code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(alphabet, t) + F.lit(0x10000)), 8, "0")), "UTF-32")
-    return F.array_join(F.transform(tokens, code), "")
-
-
 def token_edits() -> Column:
-    """Levenshtein distance of the sorted token sequences, by the built-in over one character for each token."""
-    both = F.array(F.struct(F.col("t1").alias("a"), F.col("t2").alias("b"), F.array_union("t1", "t2").alias("u")))
-    return F.transform(both, lambda x: F.levenshtein(_spelled(x["a"], x["u"]), _spelled(x["b"], x["u"])))[0]
+    """Levenshtein distance of the sorted token sequences t1 and t2. Tokens that both have stand in the same order on either side,
+    so a cheapest alignment is a chain of some of them, with as many edits between two as the longer gap has tokens. Neighbours on
+    both sides are always taken together, so the chain is sought among the runs of such neighbours."""
+    place = lambda x: F.struct(F.array_position("t1", x).alias("i"), F.array_position("t2", x).alias("j"))
+    adjoin = lambda p, q: (p["i"] + 1 == q["i"]) & (p["j"] + 1 == q["j"])
+    n, m = F.size("t1").cast("long"), F.size("t2").cast("long")
+
+    def runs(c: Column) -> Column:
+        first = F.filter(c, lambda p, k: (k == 0) | ~adjoin(F.get(c, k - 1), p))
+        last = F.filter(c, lambda p, k: (k == F.size(c) - 1) | ~adjoin(p, F.get(c, k + 1)))
+        return F.arrays_zip(first.alias("first"), last.alias("last"))
+
+    def chained(done: Column, run: Column) -> Column:
+        cost = F.array_min(F.transform(done, lambda q: q["d"] + F.greatest(run["first"]["i"] - q["i"], run["first"]["j"] - q["j"]) - 1))
+        return F.concat(done, F.array(F.struct(run["last"]["i"].alias("i"), run["last"]["j"].alias("j"), cost.alias("d"))))
+
+    common = F.transform(F.array_intersect("t1", "t2"), place)
+    start = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("d")))
+    behind = F.struct((n + 1).alias("i"), (m + 1).alias("j"))
+    end = F.array(F.struct(behind.alias("first"), behind.alias("last")))
+    all_runs = F.transform(F.array(common), runs)[0]
+    return F.aggregate(F.concat(all_runs, end), start, chained, lambda done: F.element_at(done, -1)["d"])
 
 
 def edit_distance() -> Column:

@@ -231,8 +231,8 @@ def overlap_match(b: Base) -> DataFrame:
 
 @query
 def edit_distance_match(b: Base) -> DataFrame:
-    near = b.scored(b.wnp2).where("sim >= 0.3").select("e1", "e2")
-    return pairs.with_tokens(near, token_sets(b.source)).withColumn("d", matching.edit_distance()).select("e1", "e2", rounded("d").alias("ed_distance"), F.round(1 - F.col("d"), 6).alias("ed_similarity"))
+    scored = pairs.with_tokens(b.wnp2.select("e1", "e2"), b.sets).withColumn("d", matching.edit_distance())
+    return scored.select("e1", "e2", rounded("d").alias("ed_distance"), F.round(1 - F.col("d"), 6).alias("ed_similarity"))
 
 
 @query

@@ -1,5 +1,7 @@
 """The hand-worked micro-fixture, edge cases and the stateful parts."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +117,31 @@ def test_edit_distance_query_against_brute_force(spark, tables):
         assert r["ed_similarity"] == pytest.approx(1 - r["ed_distance"], abs=2e-6)
 
 
+def test_edit_distance_scores_every_cleaned_pair(spark, tables):
+    from pairwright.plans.catalogue import QUERIES
+
+    got = QUERIES["edit_distance_match"](spark, tables)
+    assert rows(got, "e1", "e2") == rows(QUERIES["wnp2"](spark, tables), "e1", "e2")
+
+
+def test_edits_by_chains_match_the_table(spark):
+    rng = random.Random(3)
+    cases = [tuple(sorted(rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(0, 26))) for _ in range(2)) for _ in range(300)]
+    cases.append((["a", "b", "c", "i"], ["i", "j", "k", "l"]))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    df = spark.createDataFrame(cases, "t1 array<string>, t2 array<string>")
+    for r in df.withColumn("d", matching.token_edits()).collect():
+        assert r["d"] == edits(r["t1"], r["t2"]), (r["t1"], r["t2"])
+
+
 def test_ghosting_forms_agree_without_ghosting(spark, tables):
     source = profiles.profiles(profiles.read(spark, f"{tables}/documents.parquet"), "doc_id", ["text"]).where("id < 60")
     mine = pairs.common_blocks(pairs.dirty_pairs(blocking.capped(postings(source), 20)))
