@@ -1,7 +1,8 @@
 """Queries by name: each takes (spark, folder of tables) and returns a DataFrame.
 
 Unless a query says otherwise its source is `documents`, arrival is by doc_id, blocks take their first CAP - 1 arrivals, weights
-w are shared blocks over all blocks of either end, and true pairs are candidates of token Jaccard TRUE or more.
+w are shared blocks over all blocks of either end, and true pairs are those of token Jaccard TRUE or more or of equal
+texts, among all pairs: recall is measured and components are built on these, not on what the blocks kept.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import postings, rounded, token_sets
-from pairwright.operators import blocking, cleaning, clustering, evaluate, matching, pairs, prioritize, weighting
+from pairwright.operators import blocking, cleaning, clustering, evaluate, matching, pairs, prioritize, truth, weighting
 from pairwright.plans import pipeline
 from pairwright.sources import profiles
 from pairwright.streaming import exact, incremental
@@ -78,8 +79,15 @@ class Base:
     def scored(self, found: DataFrame, matcher: str = "js") -> DataFrame:
         return matching.scored(pairs.with_tokens(found.select("e1", "e2"), self.sets), matcher)
 
+    @cached_property
+    def every(self) -> truth.Truth:
+        """The truth over all pairs, also those that no block keeps."""
+        documents = profiles.read(self.spark, f"{self.dir}/documents.parquet")
+        return truth.Truth(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), TRUE)
+
     @cached_property
     def truth(self) -> DataFrame:
+        """The true pairs among the candidates: all that any order or cleaning of them can find."""
         sizes = self.sets.select("id", F.size("tokens").alias("n"))
         near = matching.may_reach(self.cbs, self.kept, sizes, TRUE)
         return self.scored(near).where(F.col("sim") >= TRUE).select("e1", "e2")
@@ -308,7 +316,7 @@ def bucket_queue_order(b: Base) -> DataFrame:
 
 @query
 def connected_components(b: Base) -> DataFrame:
-    return clustering.components(b.truth)
+    return clustering.components(b.every.edges())
 
 
 @query
@@ -320,18 +328,18 @@ def unique_mapping(b: Base) -> DataFrame:
 
 @query
 def pc_pq_metrics(b: Base) -> DataFrame:
-    return evaluate.completeness(b.wnp2.select("e1", "e2"), b.truth)
+    return evaluate.completeness(b.wnp2.select("e1", "e2"), b.truth, b.every.count())
 
 
 @query
 def progressive_recall_curve(b: Base) -> DataFrame:
     order, _ = prioritize.ranked(b.js, *prioritize.best())
-    return evaluate.recall_curve(order, b.truth)
+    return evaluate.recall_curve(order, b.truth, b.every.count())
 
 
 @query
 def recall_precision_at_threshold(b: Base) -> DataFrame:
-    return evaluate.at_threshold(b.scored(b.wnp2), b.truth, 0.5)
+    return evaluate.at_threshold(b.scored(b.wnp2), b.truth, 0.5, b.every.count())
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.text import pair_key, postings, token_sets, tokens
 from pairwright.operators import blocking, cleaning, clustering, evaluate, matching, pairs, prioritize, ranking, weighting
+from pairwright.operators import truth as true_pairs
 from pairwright.plans import pipeline
 from pairwright.sources import profiles, sinks
 from pairwright.streaming import exact, incremental
@@ -142,6 +143,30 @@ def test_edits_by_chains_match_the_table(spark):
         assert r["d"] == edits(r["t1"], r["t2"]), (r["t1"], r["t2"])
 
 
+def test_truth_knows_no_cap(spark, tmp_path):
+    """Sixty copies of a text, near copies, random sets, empty and null texts: against all pairs."""
+    from pairwright.plans.catalogue import QUERIES
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(20)]
+    texts = [" ".join(rng.sample(base, 20)) for _ in range(60)] + [" ".join([*base[:18], f"x{i}"]) for i in range(5)]
+    texts += [" ".join(rng.sample("abcdefghijkl", rng.randint(1, 8))) for _ in range(60)] + ["", "", "?!", "?!", None, None]
+    sets = [set((t or "").split()) if t != "?!" else set() for t in texts]
+    want = []
+    for j in range(len(texts)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if (sets[i] and both / len(sets[i] | sets[j]) >= 0.8) or (texts[i] is not None and texts[i] == texts[j]):
+                want.append((i, j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = true_pairs.Truth(df.withColumnRenamed("doc_id", "id"), 0.8)
+    assert rows(every.pairs(), "e1", "e2") == sorted(want)
+    assert every.count() == len(want)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["id"] for r in QUERIES["connected_components"](spark, str(tmp_path)).collect()} == {x for pair in want for x in pair}
+    assert rows(QUERIES["pc_pq_metrics"](spark, str(tmp_path)), "truth") == [(len(want),)]
+
+
 def test_ghosting_forms_agree_without_ghosting(spark, tables):
     source = profiles.profiles(profiles.read(spark, f"{tables}/documents.parquet"), "doc_id", ["text"]).where("id < 60")
     mine = pairs.common_blocks(pairs.dirty_pairs(blocking.capped(postings(source), 20)))
