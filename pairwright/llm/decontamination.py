@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Text becomes tokens: runs of letters, and numbers with their inner points and commas. A number becomes <number>, a unit behind
-a number <unit>, a capitalised word inside a sentence <name>; all other words stay, in lower case. Windows of WINDOW template
+a number <unit>, a capitalised word inside a sentence <name>; all other words stay, in lower case. A capitalised word at the head
+of a window or of a sentence is read both ways, as a name and as a word (all such words inside of one window alike). Windows of WINDOW template
 tokens are hash-joined with those of the benchmark, so a question whose numbers and names were exchanged still meets its
 template. Then, for each document, item and alignment, slot consistency is checked: one value of the item must stand for one
 value in the document throughout (for names also the other way round), save for a CONFLICTS share. A window with fewer than
@@ -58,7 +59,7 @@ NUMBER, UNIT, NAME = 1, 2, 3
 
 
 class Tokens:
-    """The tokens of a slice: row, raw hash, kind (0: literal) and whether the form at the head of a window is a literal."""
+    """The tokens of a slice: row, raw hash, slot (0: literal), and slot where words that begin a sentence may be names (wide)."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
         n, rows = len(raw), len(offsets) - 1
@@ -91,7 +92,7 @@ class Tokens:
         values[~ink] = 0
         self.hash = hash_segments(values, at)
         if not len(at):
-            self.slot = self.hash.astype(np.int64)
+            self.slot = self.wide = self.hash.astype(np.int64)
             return
         size = np.add.reduceat(ink.astype(np.int64), at)
         capitals = np.add.reduceat((capital | latin).astype(np.int64), at)
@@ -110,24 +111,33 @@ class Tokens:
         self.slot[title & ~initial & ~shout[self.row]] = NAME
         self.slot[letters & behind & np.isin(self.hash, unit_hashes())] = UNIT
         self.slot[number] = NUMBER
+        self.wide = np.where(title & ~shout[self.row] & (self.slot == 0), NAME, self.slot)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens of the windows of a size, and their keys."""
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First tokens of the windows of a size, their keys and the slots of their heads and of their other tokens, by reading: a
+        capitalised head is a literal or a name, and so are the capitalised words that begin a sentence behind it."""
         n = len(self.hash) - size + 1
         if n <= 0:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=U64)
+            return
         at = np.flatnonzero(self.row[:n] == self.row[size - 1 :])
-        head = np.where(self.slot == NAME, 0, self.slot)
-        template = np.where(self.slot > 0, _SLOT_HASHES[self.slot], self.hash)
+        bare = np.where(self.slot == NAME, 0, self.slot)
+        named = self.wide[at] == NAME
+        more = np.cumsum(self.wide != self.slot)
+        begun = more[at + size - 1] > more[at]
+        for mine, head, inner in ((at, bare, self.slot), (at[named], self.wide, self.slot), (at[begun], bare, self.wide), (at[named & begun], self.wide, self.wide)):
+            yield mine, self._keys(mine, size, head, inner), np.maximum(self.slot, head), inner
+
+    def _keys(self, at: np.ndarray, size: int, head: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        template = np.where(inner > 0, _SLOT_HASHES[inner], self.hash)
         keys = np.where(head > 0, _SLOT_HASHES[head], self.hash)[at] * _PLACES[0]
         exact = self.hash[at] * _PLACES[0]
         literals = (head[at] == 0).astype(np.int64)
         for j in range(1, size):
             keys = keys + template[at + j] * _PLACES[j]
             exact = exact + self.hash[at + j] * _PLACES[j]
-            literals += self.slot[at + j] == 0
+            literals += inner[at + j] == 0
         keys = np.where(literals >= min(LITERALS, (size + 1) // 2), keys, exact + _EXACT)
-        return at, mix(keys + np.full(1, size, dtype=U64) * _LENGTHS)
+        return mix(keys + np.full(1, size, dtype=U64) * _LENGTHS)
 
 
 _units: list[np.ndarray] = []
@@ -158,21 +168,22 @@ def _windows(short: list[int] | None, sift: np.ndarray | None):
                 for size in range(1, WINDOW + 1):
                     if size < WINDOW and short is not None and size not in short:
                         continue
-                    at, keys = t.windows(size)
-                    if size < WINDOW and (short is None or size < SHORTEST):
-                        own = t.counts[t.row[at]] == size
-                        at, keys = at[own], keys[own]
-                    if sift is not None and len(sift):
-                        found = sift[np.minimum(np.searchsorted(sift, keys), len(sift) - 1)] == keys
-                        at, keys = at[found], keys[found]
-                    if not len(at):
-                        continue
-                    member = at[:, None] + np.arange(size)
-                    slots = np.where(t.slot[member] > 0, (t.hash[member] & ~U64(3)).view(np.int64) | t.slot[member], 0)
-                    row = t.row[at]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * size + 1, size, dtype=np.int32)), pa.array(slots.reshape(-1)))
-                    columns = [batch.column(0).take(pa.array(first + row)), pa.array(at - firsts[row]), pa.array(keys.view(np.int64)), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array(t.counts[row].astype(np.int64)), lists]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "pos", "key", "size", "n", "slots"])
+                    for at, keys, head, inner in t.windows(size):
+                        if size < WINDOW and (short is None or size < SHORTEST):
+                            own = t.counts[t.row[at]] == size
+                            at, keys = at[own], keys[own]
+                        if sift is not None and len(sift):
+                            found = sift[np.minimum(np.searchsorted(sift, keys), len(sift) - 1)] == keys
+                            at, keys = at[found], keys[found]
+                        if not len(at):
+                            continue
+                        member = at[:, None] + np.arange(size)
+                        kinds = np.column_stack([head[at], inner[member[:, 1:]]])
+                        slots = np.where(kinds > 0, (t.hash[member] & ~U64(3)).view(np.int64) | kinds, 0)
+                        row = t.row[at]
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * size + 1, size, dtype=np.int32)), pa.array(slots.reshape(-1)))
+                        columns = [batch.column(0).take(pa.array(first + row)), pa.array(at - firsts[row]), pa.array(keys.view(np.int64)), pa.array(np.full(len(at), size, dtype=np.int32)), pa.array(t.counts[row].astype(np.int64)), lists]
+                        yield pa.RecordBatch.from_arrays(columns, ["id", "pos", "key", "size", "n", "slots"])
 
     return scan
 

@@ -193,6 +193,22 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r["doc_id"] for r in decontamination.contaminated(df, items).collect()] == [1]
 
 
+def test_short_items_with_a_name_at_any_place(spark):
+    """Items of 8 to 13 tokens need all their windows, so a swapped name must not cost one, wherever it stands."""
+    words_ = "if the old baker sells bread and pays tax how much remains".split()
+    items, cases = [(0, "If Tom has 5 apples and eats 2, how many are left?")], [(0, "If Anna has 7 apples and eats 3, how many are left?")]
+    for n in range(8, 14):
+        for at in range(n):
+            other = [f"{w}x{chr(97 + n)}{chr(97 + at)}" for w in words_[: n - 1]]
+            texts = [" ".join([*other[:at], name, *other[at:]]) for name in ("Tom", "Anna")]
+            items.append((len(items), texts[0]))
+            cases.append((len(cases), "so it goes. " + texts[1] + " and so on"))
+    items.append((len(items), "So we ask this now. Tom likes red plums more"))
+    cases.append((len(cases), "So we ask this now. Anna likes red plums more"))
+    got = decontamination.contaminated(spark.createDataFrame(cases, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in got.collect()) == [(i, i, False) for i in range(len(items))]
+
+
 def test_all_windows_without_a_sift(spark, docs, monkeypatch):
     long = rows_of(docs)[9][1].split()
     items = spark.createDataFrame([(0, " ".join(long[100:130])), (1, " ".join(long[500:520]))], "item_id long, text string")
