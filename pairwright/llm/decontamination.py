@@ -2,7 +2,8 @@
 
 Text becomes tokens: runs of letters, and numbers with their inner points and commas. A number becomes <number>, a unit behind
 a number <unit>, a capitalised word inside a sentence <name>; all other words stay, in lower case. A capitalised word at the head
-of a window or of a sentence is read both ways, as a name and as a word (all such words inside of one window alike). Windows of WINDOW template
+of a window or of a sentence is read both ways, as a name and as a word (all such words inside of one window alike).
+Windows join by their exact tokens in lower case as well, so a copy is found whatever became of its capitals and stops. Windows of WINDOW template
 tokens are hash-joined with those of the benchmark, so a question whose numbers and names were exchanged still meets its
 template. Then, for each document, item and alignment, slot consistency is checked: one value of the item must stand for one
 value in the document throughout (for names also the other way round), save for a CONFLICTS share. A window with fewer than
@@ -115,7 +116,8 @@ class Tokens:
 
     def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """First tokens of the windows of a size, their keys and the slots of their heads and of their other tokens, by reading: a
-        capitalised head is a literal or a name, and so are the capitalised words that begin a sentence behind it."""
+        capitalised head is a literal or a name, and so are the capitalised words that begin a sentence behind it. A last reading takes
+        all tokens as they are, in lower case, so that a copy is met whatever its capitals and stops are."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return
@@ -124,20 +126,30 @@ class Tokens:
         named = self.wide[at] == NAME
         more = np.cumsum(self.wide != self.slot)
         begun = more[at + size - 1] > more[at]
+        exact = np.zeros(len(self.hash), dtype=U64)
+        exact[at] = self._exact(at, size)
         for mine, head, inner in ((at, bare, self.slot), (at[named], self.wide, self.slot), (at[begun], bare, self.wide), (at[named & begun], self.wide, self.wide)):
-            yield mine, self._keys(mine, size, head, inner), np.maximum(self.slot, head), inner
+            keys = self._keys(mine, size, head, inner)
+            other = keys != exact[mine]
+            yield mine[other], keys[other], np.maximum(self.slot, head), inner
+        yield at, exact[at], self.slot, self.slot
+
+    def _exact(self, at: np.ndarray, size: int) -> np.ndarray:
+        keys = np.full(len(at), _EXACT, dtype=U64)
+        for j in range(size):
+            keys = keys + self.hash[at + j] * _PLACES[j]
+        return mix(keys + np.full(1, size, dtype=U64) * _LENGTHS)
 
     def _keys(self, at: np.ndarray, size: int, head: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Keys by template; those of windows with too few literals are left to the exact reading (as exact keys)."""
         template = np.where(inner > 0, _SLOT_HASHES[inner], self.hash)
         keys = np.where(head > 0, _SLOT_HASHES[head], self.hash)[at] * _PLACES[0]
-        exact = self.hash[at] * _PLACES[0]
         literals = (head[at] == 0).astype(np.int64)
         for j in range(1, size):
             keys = keys + template[at + j] * _PLACES[j]
-            exact = exact + self.hash[at + j] * _PLACES[j]
             literals += inner[at + j] == 0
-        keys = np.where(literals >= min(LITERALS, (size + 1) // 2), keys, exact + _EXACT)
-        return mix(keys + np.full(1, size, dtype=U64) * _LENGTHS)
+        keys = mix(keys + np.full(1, size, dtype=U64) * _LENGTHS)
+        return np.where(literals >= min(LITERALS, (size + 1) // 2), keys, self._exact(at, size))
 
 
 _units: list[np.ndarray] = []

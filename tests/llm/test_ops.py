@@ -209,6 +209,14 @@ def test_short_items_with_a_name_at_any_place(spark):
     assert sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in got.collect()) == [(i, i, False) for i in range(len(items))]
 
 
+def test_copies_are_found_whatever_their_case_and_stops(spark):
+    item = "What did Tom buy at the store in 1999 for his mom"
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    cases = [item.lower(), item.upper(), item.title(), item.replace("Tom", "TOM"), item.replace(" Tom", ". Tom"), "we ask " + item.lower() + " now"]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["verbatim"]) for r in decontamination.contaminated(df, items).collect()) == [(i, True) for i in range(len(cases))]
+
+
 def test_all_windows_without_a_sift(spark, docs, monkeypatch):
     long = rows_of(docs)[9][1].split()
     items = spark.createDataFrame([(0, " ".join(long[100:130])), (1, " ".join(long[500:520]))], "item_id long, text string")
