@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ def candidates(source: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]
     """Kept postings, and raw pairs by token."""
     posted = postings(source)
     if config.mode == "clean_clean":
+        if config.beta:
+            raise ValueError("ghosting (beta) has no clean_clean form here")
         n1, n2 = (source.where(F.col("ds") == d).count() for d in (0, 1))
         kept = blocking.capped_two(posted, config.rho, n1, n2)
         return kept, pairs.clean_clean_pairs(kept)
@@ -84,7 +86,12 @@ def progressive(source: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def streaming(source: DataFrame, config: Config = Config()) -> DataFrame:
-    """Increment by increment: (e1, e2, cbs, increment)."""
+    """Increment by increment: (e1, e2, cbs, increment), all pairs of one source's capped blocks. Nothing is cleaned, ordered or
+    scored, whatever the defaults of Config; a field that asks for more than increment and cap is an error."""
+    plain = Config(increment=config.increment, cap=config.cap)
+    asked = [f.name for f in fields(Config) if getattr(config, f.name) != getattr(plain, f.name)]
+    if asked:
+        raise ValueError(f"streaming has no form of: {', '.join(asked)}")
     return incremental.run(source, config.increment, config.cap)
 
 

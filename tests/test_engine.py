@@ -188,6 +188,17 @@ def test_stream_equals_batch_and_larger_increment(source):
         assert rows(incremental.run(source, size, 50), "e1", "e2", "cbs") == batch
 
 
+@pytest.mark.parametrize("field", [{"mode": "clean_clean"}, {"rho": 0.1}, {"beta": 0.1}, {"cleaning": "cnp"}, {"weighting": "js"}, {"prioritizer": "ieps"}, {"matcher": "ed"}, {"threshold": 0.5}, {"budget": 5}])
+def test_stream_refuses_what_it_would_ignore(source, field):
+    with pytest.raises(ValueError, match=next(iter(field))):
+        pipeline.streaming(source, pipeline.Config(**field))
+
+
+def test_clean_clean_refuses_ghosting(source):
+    with pytest.raises(ValueError, match="beta"):
+        pipeline.baseline(source, pipeline.Config(mode="clean_clean", beta=0.1))
+
+
 def test_stream_step_is_idempotent(spark, source):
     state = incremental.Incremental(spark, 50)
     state.step(source, 0)
