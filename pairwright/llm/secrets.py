@@ -117,9 +117,23 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     return features(made.withColumn("word", F.concat("q", "value", "q"))).select(*FEATURES, "label")
 
 
+def sampled(labelled: DataFrame) -> DataFrame:
+    """LABELLED rows at most: of each label its share of them, by a hash of the features, which no feature decides."""
+    rows = labelled.select(*FEATURES, "label")
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    total = sum(counts.values())
+    if total <= LABELLED:
+        return rows
+    out = rows.limit(0)
+    for label, n in sorted(counts.items()):
+        mine = rows.where(F.col("label") == label).orderBy(F.xxhash64(*FEATURES), *FEATURES)
+        out = out.union(mine.limit(max(1, n * LABELLED // total)))
+    return out
+
+
 def train(labelled: DataFrame):
     """The forest from LABELLED rows at most, in one fixed order, so that reruns agree."""
-    rows = labelled.orderBy(*FEATURES, "label").limit(LABELLED).coalesce(1)
+    rows = sampled(labelled).orderBy(*FEATURES, "label").coalesce(1)
     forest = RandomForestClassifier(featuresCol="_v", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r")
     return forest.fit(VectorAssembler(inputCols=list(FEATURES), outputCol="_v").transform(rows))
 

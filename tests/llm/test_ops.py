@@ -338,6 +338,18 @@ def test_secrets_are_told_from_look_alikes(spark):
     assert all(r["value_sha256"] in (hashlib.sha256(key.encode()).hexdigest(), hashlib.sha256(key[:32].encode()).hexdigest()) for r in got if r["is_secret"])
 
 
+def test_training_sample_has_findings_of_all_lengths(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "LABELLED", 100)
+    columns = [F.col("id").cast("double").alias(name) if name == "length" else F.lit(0.5).alias(name) for name in secrets.FEATURES]
+    table = spark.range(1000).select(*columns, (F.col("id") % 4 == 0).cast("double").alias("label"))
+    got = secrets.sampled(table).collect()
+    assert Counter(r["label"] for r in got) == {1.0: 25, 0.0: 75}
+    assert min(r["length"] for r in got) < 100 and max(r["length"] for r in got) > 900
+    assert sorted(got) == sorted(secrets.sampled(table.repartition(5)).collect())
+    monkeypatch.setattr(secrets, "LABELLED", 1000)
+    assert secrets.sampled(table).count() == 1000
+
+
 # ---- token counts
 
 
