@@ -1,4 +1,4 @@
-"""Shared storage: cutting a lineage by a written table, and checked broadcasts."""
+"""Shared storage: cutting a lineage by a written table, dropping it, and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a local one, for a local master
+    only: executors elsewhere would not see it."""
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file:///tmp/checkpoints/pairwright-{context.applicationId}"
         context.setCheckpointDir(where)
     return where
@@ -27,7 +30,19 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     and every later use sees the same rows."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete what `cut` wrote, once nothing reads it any more; tables that `cut` didn't return are left alone."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
