@@ -1,12 +1,12 @@
-"""Helpers shared by the corpus operators: shared storage, lineage cuts and checked broadcasts."""
+"""Helpers shared by the corpus operators: words, text keys and column names that can't clash."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.sources.storage import broadcast_if, cut, drop, shared_dir  # noqa: F401  used by the operators
+
 #: Word separators of every contract in this folder: space, tab, LF, VT, FF, CR.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: The same as a Java pattern.
@@ -18,36 +18,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not where:
-        where = f"file:///tmp/checkpoints/pairwright-{context.applicationId}"
-        context.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage ends there, so a lost executor costs no recomputation
-    and every later use sees the same rows."""
-    path = f"{shared_dir(df.sparkSession)}/pairwright/{df.sparkSession.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete what `cut` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/pairwright/" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def text_key(text: Column | str = "text") -> list[Column]:
+    """Two longs, _t1 and _t2, that name a text (128 bits, so that different texts don't meet); null is a text of its own."""
+    text = F.col(text) if isinstance(text, str) else text
+    null = text.isNull()
+    return [F.xxhash64(text, null).alias("_t1"), F.xxhash64(F.lit(1), text, null).alias("_t2")]
 
 
-def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """Hint a broadcast only where the counted rows are within the stated bound; beyond it Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= most else df
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as one struct column `row`, with copies of the named columns beside it (null where docs has none): whatever names docs
+    has, operators may add theirs. `row.*` gives docs back."""
+    have = [F.col(f"row.`{c}`").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", *have)
 
 
 def words(text: Column) -> Column:
