@@ -9,11 +9,14 @@ distributed aggregation of gradient and curvature by source, guarded by a bracke
 iterations run over counts by (source, size), never over documents.
 
 Copies: rates are rounded systematically along each source in order of size, and what the rounding left over is closed with
-the smallest documents. Inside a group of equal source and size the extra copies go to the least hashes of doc_id; a group is
-split by salts once the corpus exceeds SALT_ROWS rows, so no window holds more than a bounded share. Reruns agree.
-
-Defined results: a null text has size 0; documents of size 0 have one copy and take 0 words; repeated rows are documents of
-their own; rows of one doc_id whose hash is the last to get a copy all get it; an empty table gives no rows.
+the smallest documents. Inside a group of equal source and size the extra copies go to the rows of least (hash of doc_id, text).
+Which these are is found without ordering the group: rows are counted by the leading bits of the hash, about BUCKET rows in
+each, and only the one bucket that holds the last extra copy is ranked. Rows that are equal in doc_id and text are told apart by
+their place in the input, counted by partition. So copies are exact by row, no task holds a group, and reruns agree.
+
+Defined results: a null text has size 0; documents of size 0 have one copy and take 0 words; repeated rows, null and repeated
+doc_ids are documents of their own; extra columns pass through `mix`, whatever their names; an empty table gives no rows; targets
+that the iterations don't reach raise an error.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if, cut, documents, drop
+from .common import WORD, broadcast_if, cut, documents, drop, packed, text_key
 
 CAP = 3
-SALT_ROWS = 1_000_000
+#: Rows of a group that are ranked together, on average.
+BUCKET = 512
 ITERATIONS = 80
 #: Sums that steer the iterations are decimals, so their result doesn't depend on the order of partitions.
 EXACT = "decimal(30,6)"
-#: Groups of (source, size, salt) broadcast at most, about 40 bytes each.
+#: Groups of (source, size) broadcast at most, about 40 bytes each.
 BROADCAST_GROUPS = 500_000
 
 
@@ -85,18 +89,20 @@ def solve(counts: DataFrame, sources: DataFrame, cap: int = CAP) -> DataFrame:
         after = cut(s.withColumn("lam", F.when(F.col("done"), F.col("lam")).otherwise(moved)).select(state.columns), "dual")
         drop(state)
         state = after
+    else:
+        open_ = state.where("NOT done").count()
+        if open_:
+            raise ArithmeticError(f"{open_} sources didn't reach their targets in {ITERATIONS} iterations")
     return state
 
 
-def plan(sized: DataFrame, rows: int, cap: int = CAP) -> tuple[DataFrame, int, int]:
-    """(key, size, salt, total, target, rate, base, edge), how many groups and how many salts: a document of a group has base copies, and one more if its hash is at most edge."""
-    salts = max(1, rows // SALT_ROWS)
-    salted = sized.withColumns({"h": F.xxhash64("doc_id"), "salt": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts))})
-    counts = cut(salted.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("c")), "counts")
-    solved = solve(counts, targets(counts, cap), cap).select("key", "total", "scale", "target", "lam")
-    groups = counts.join(solved, "key").withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(_rate(cap)))
-    down = Window.partitionBy("key").orderBy(F.desc("size"), "salt").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("key").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+def allotted(counts: DataFrame, cap: int = CAP) -> DataFrame:
+    """(key, size, c, total, target, rate, base, extra): each document of a group has base copies, and extra of them one more.
+    Windows run over the sizes of a source, of which there are no more than words in its longest text."""
+    solved = solve(counts, targets(counts, cap), cap)
+    groups = counts.join(solved.select("key", "total", "scale", "target", "lam"), "key").withColumn("rate", F.when(F.col("size") == 0, 1.0).otherwise(_rate(cap)))
+    down = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("key")
     mass = F.when(F.col("size") > 0, F.col("c") * F.col("rate")).otherwise(0.0)
     groups = groups.withColumn("mass", mass).withColumn("run", F.sum("mass").over(down))
@@ -107,39 +113,78 @@ def plan(sized: DataFrame, rows: int, cap: int = CAP) -> tuple[DataFrame, int, i
     groups = groups.withColumn("room", room).withColumn("passed", F.coalesce(F.sum("room").over(up), F.lit(0)))
     close = F.floor(F.greatest(F.lit(0.0), F.least(F.col("room"), F.abs("gap") - F.col("passed"))) / F.greatest("size", F.lit(1)))
     groups = groups.withColumn("m", F.col("m") + F.when(F.col("gap") >= 0, close).otherwise(-close))
-    groups = groups.select("key", "size", "salt", "total", "target", "rate", F.expr("m div c").alias("base"), F.expr("m % c").alias("extra"))
-    groups = cut(groups, "copies")
-    ranked = salted.join(groups.where("extra > 0").select("key", "size", "salt", "extra"), ["key", "size", "salt"])
-    rank = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("h", "doc_id"))
-    edges = ranked.withColumn("rank", rank).where("rank = extra").select("key", "size", "salt", F.col("h").alias("edge"))
-    out = cut(groups.drop("extra").join(edges, ["key", "size", "salt"], "left"), "plan")
-    return out, out.count(), salts
-
-
-def apply(docs: DataFrame, groups: DataFrame, n: int, salts: int) -> DataFrame:
-    """docs with _size, _total, _target, _rate and _copies; the plan is broadcast only while its counted groups are few."""
-    named = groups.select(*(F.col(c).alias(f"_{c}") for c in ("key", "size", "salt", "total", "target", "rate", "base", "edge")))
-    size = sizes(F.col("text")) if "text" in docs.columns else F.col("size")
-    placed = docs.withColumns({"_k": source_key(), "_s": size, "_h": F.xxhash64("doc_id"), "_t": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts))})
-    on = (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_size")) & (F.col("_t") == F.col("_salt"))
-    joined = placed.join(broadcast_if(named, n, BROADCAST_GROUPS), on)
-    return joined.withColumn("_copies", F.col("_base") + F.coalesce((F.col("_h") <= F.col("_edge")).cast("long"), F.lit(0))).drop("_k", "_s", "_h", "_t", "_key", "_salt", "_base", "_edge")
+    return groups.select("key", "size", "c", "total", "target", "rate", F.expr("m div c").alias("base"), F.expr("m % c").alias("extra"))
+
+
+def _bucket() -> Column:
+    """The leading bits of the hash h, as many as leave about BUCKET of c rows to a bucket; in the order of h."""
+    bits = F.expr(f"length(bin(c div {BUCKET})) - cast(c < {BUCKET} as int)")
+    return F.when(bits == 0, 0).otherwise(F.call_function("shiftright", F.col("h"), 64 - bits))
+
+
+def edges(sized: DataFrame, groups: DataFrame, n: int) -> DataFrame:
+    """(key, size, eh, e1, e2, need, ties): the last row to get an extra copy in each group that has some; of the `ties` rows that
+    are equal to it, `need` get one."""
+    open_ = broadcast_if(groups.where("extra > 0").select("key", "size", "c", "extra"), n, BROADCAST_GROUPS)
+    rows = sized.join(open_, ["key", "size"]).withColumn("bucket", _bucket())
+    of = Window.partitionBy("key", "size").orderBy("bucket")
+    held = rows.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("b"), F.first("extra").alias("extra")).withColumn("upto", F.sum("b").over(of))
+    last = held.where((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("b") < F.col("extra"))).select("key", "size", "bucket", (F.col("extra") - F.col("upto") + F.col("b")).alias("left"))
+    near = rows.join(broadcast_if(last, n, BROADCAST_GROUPS), ["key", "size", "bucket"]).groupBy("key", "size", "h", "_t1", "_t2").agg(F.count(F.lit(1)).alias("ties"), F.first("left").alias("left"))
+    seen = near.withColumn("upto", F.sum("ties").over(Window.partitionBy("key", "size").orderBy("h", "_t1", "_t2")))
+    at = seen.where((F.col("upto") >= F.col("left")) & (F.col("upto") - F.col("ties") < F.col("left")))
+    return at.select("key", "size", F.col("h").alias("eh"), F.col("_t1").alias("e1"), F.col("_t2").alias("e2"), (F.col("left") - F.col("upto") + F.col("ties")).alias("need"), "ties")
+
+
+def plan(sized: DataFrame, cap: int = CAP) -> tuple[DataFrame, int, bool]:
+    """(key, size, total, target, rate, base, eh, e1, e2, need, ties) for rows (key, size, h, _t1, _t2), how many groups there are,
+    and whether an edge lies among rows that are equal."""
+    counts = cut(sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("c")), "counts")
+    groups = cut(allotted(counts, cap), "copies")
+    n = groups.count()
+    out = cut(groups.drop("c", "extra").join(edges(sized, groups, n), ["key", "size"], "left"), "plan")
+    drop(counts, groups)
+    return out, n, not out.where("need < ties").isEmpty()
+
+
+def copied(rows: DataFrame, groups: DataFrame, n: int, tied: bool) -> DataFrame:
+    """rows (with key, size, h, _t1, _t2) with total, target, rate and copies; the plan is broadcast only while its counted groups are few."""
+    joined = rows.join(broadcast_if(groups, n, BROADCAST_GROUPS), ["key", "size"])
+    place, edge = F.struct("h", "_t1", "_t2"), F.struct(F.col("eh").alias("h"), F.col("e1").alias("_t1"), F.col("e2").alias("_t2"))
+    sure = F.coalesce((place < edge) | ((place == edge) & (F.col("need") >= F.col("ties"))), F.lit(False))
+    out = joined.withColumns({"copies": F.col("base") + sure.cast("long"), "open": F.coalesce((place == edge) & (F.col("need") < F.col("ties")), F.lit(False))})
+    keep = [*rows.columns, "total", "target", "rate", "copies"]
+    if not tied:
+        return out.select(keep)
+    here = cut(out.where("open").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "ties")
+    key = ["key", "size"]  # one edge in each group, so its equal rows are named by the group
+    parts = here.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("p"))
+    before = parts.select(*key, "part", (F.sum("p").over(Window.partitionBy(*key).orderBy("part")) - F.col("p")).alias("before"))
+    numbered = here.withColumn("nth", F.row_number().over(Window.partitionBy(*key, "part").orderBy("at"))).join(before, [*key, "part"])
+    more = (F.col("before") + F.col("nth") <= F.col("need")).cast("long")
+    return out.where("NOT open").select(keep).unionByName(numbered.withColumn("copies", F.col("base") + more).select(keep))
+
+
+def _measured(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows of packed docs (doc_id, text, source) with key, size, h, _t1, _t2."""
+    return docs.select(*more, source_key().alias("key"), sizes(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("h"), *text_key())
 
 
 def balance(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, rate, copies for every row of docs."""
-    sized = cut(docs.select("doc_id", "source", source_key().alias("key"), sizes(F.col("text")).alias("size")), "sizes")
-    groups, n, salts = plan(sized.select("doc_id", "key", "size"), sized.count(), cap)
-    out = apply(sized.select("doc_id", "source", "size"), groups, n, salts)
-    return out.select("doc_id", "size", F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).alias("taken"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    sized = cut(_measured(docs.select("doc_id", "text", "source"), F.col("doc_id")), "sizes")
+    out = copied(sized, *plan(sized, cap))
+    return out.select("doc_id", "size", F.col("total").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
 def mix(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """docs with each row repeated as often as the mix takes it, with the columns of docs."""
-    sized = cut(docs.select("doc_id", source_key().alias("key"), sizes(F.col("text")).alias("size")), "sizes")
-    groups, n, salts = plan(sized, sized.count(), cap)
-    taken = apply(docs, groups, n, salts).where("_copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).select(docs.columns)
+    rows = packed(docs, "doc_id", "text", "source")
+    sized = cut(_measured(rows), "sizes")
+    planned = plan(sized, cap)
+    drop(sized)
+    taken = copied(_measured(rows, F.col("row")), *planned).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
