@@ -3,10 +3,14 @@
 Records of a file are ordered by offset. Each record is a leaf (the SHA-256 of its bytes); a node hashes the offset range and
 the hashes of up to FAN children in order, up to one root for each file. Two replicas are compared at the roots, and only the
 children of nodes that differ are compared further, so an audit of sound replicas moves one row for each file, and damage is
-located in as many small joins as the tree has levels.
-
-Defined results: null url or html is empty; repeated rows are records of their own; a file or record that one replica lacks is
-`missing` or `extra`; an empty table gives no rows. Files written with `write_warc` hold plain WARC/1.1 records.
+located in as many small joins as the tree has levels. A lost or added record shifts all behind it; so the leaves of the ranges
+that differ are then matched by record and digest, and those that merely moved are not reported.
+
+Defined results: null url or html is empty; repeated rows are records of their own; a record of one replica whose bytes the other
+has nowhere in that range is `changed` if the other has one of the same record_id and uri left, else `missing` or `extra`; seq,
+offset and length are those of the first replica, of the second for `extra`; extra columns are ignored; an empty table gives no
+rows. Files written with `write_warc` hold plain WARC/1.1 records. `read_warc` raises an error at a damaged header, a missing
+length or a cut record; it holds one file in a worker (2 GB at most), and offsets are those of the decompressed bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 FAN = 16
 #: Records in a file on average.
@@ -31,8 +35,8 @@ def records(pages: DataFrame, files: int | None = None) -> DataFrame:
     html, uri = F.coalesce("html", F.lit("")), F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "")
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), uri, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
     count = files if files is not None else max(1, pages.count() // FILE_RECORDS)
-    made = pages.select(F.col("page_id").alias("record_id"), uri.alias("uri"), F.concat(head, html, F.lit("\r\n\r\n")).cast("binary").alias("record"))
-    return made.withColumn("file", F.pmod(F.xxhash64("record_id", "uri"), F.lit(count)).cast("int"))
+    dealt = F.pmod(F.xxhash64("page_id", uri, html), F.lit(count)).cast("int")
+    return pages.select(F.col("page_id").alias("record_id"), uri.alias("uri"), F.concat(head, html, F.lit("\r\n\r\n")).cast("binary").alias("record"), dealt.alias("file"))
 
 
 def leaves(made: DataFrame) -> DataFrame:
@@ -65,8 +69,20 @@ def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, ["file", "idx"], "full").where(~F.col("a").eqNullSafe(F.col("b")))
 
 
+def _unmatched(a: DataFrame, b: DataFrame, *by: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """a and b matched one to one by (file, *by), the nth with the nth: (both), (a only), (b only)."""
+    nth = F.row_number().over(Window.partitionBy("file", *by).orderBy("seq"))
+    key = ["file", *by]
+    left, right = (x.withColumn("nth", nth).withColumn(n, F.struct("record_id", "uri", "seq", "offset", "length", "hash")) for x, n in ((a, "a"), (b, "b")))
+    same = F.col("l.nth") == F.col("r.nth")
+    for c in key:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    met = left.alias("l").join(right.alias("r"), same, "full").select(F.coalesce("l.file", "r.file").alias("file"), "a", "b")
+    return met.where("a IS NOT NULL AND b IS NOT NULL"), met.where("b IS NULL").select("file", "a.*"), met.where("a IS NULL").select("file", "b.*")
+
+
 def audit(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The leaves (of `leaves`) that differ: file, seq, offset, length, hash_a, hash_b, status."""
+    """The records (of `leaves`) that differ: file, seq, offset, length, record_id, uri, hash_a, hash_b, status."""
     one, two = tree(a), tree(b)
     levels = max(len(one), len(two))
     while len(one) < levels:
@@ -78,9 +94,19 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
         front = cut(bad.select("file", F.col("idx").alias("up")).distinct(), "front")
         inside = [x[level].withColumn("up", F.expr(f"idx div {FAN}")).join(front, ["file", "up"], "left_semi") for x in (one, two)]
         bad = _differ(*inside)
-    at = F.coalesce("a", "b")
-    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed")
-    return bad.select("file", F.col("idx").alias("seq"), at["start"].alias("offset"), (at["end"] - at["start"]).alias("length"), F.col("a")["hash"].alias("hash_a"), F.col("b")["hash"].alias("hash_b"), status.alias("status"))
+    at = cut(bad.select("file", F.col("idx").alias("seq")), "differing")
+    drop(*one[1:], *two[1:])
+    mine, other = (x.join(at, ["file", "seq"], "left_semi").select("file", "seq", "offset", "length", "record_id", "uri", "hash") for x in (a, b))
+    _, lost, found = _unmatched(mine, other, "record_id", "uri", "hash")
+    changed, lost, found = _unmatched(cut(lost, "unmatched"), cut(found, "unmatched"), "record_id", "uri")
+    none = F.lit(None).cast("string")
+    place = [F.col("file"), *(F.col(c) for c in ("seq", "offset", "length", "record_id", "uri"))]
+
+    def rows(x: DataFrame, hash_a: Column, hash_b: Column, status: str) -> DataFrame:
+        return x.select(*place, hash_a.alias("hash_a"), hash_b.alias("hash_b"), F.lit(status).alias("status"))
+
+    pairs = changed.select("file", "a.*", F.col("b.hash").alias("hash_b"))
+    return rows(pairs, F.col("hash"), F.col("hash_b"), "changed").union(rows(lost, F.col("hash"), none, "missing")).union(rows(found, none, F.col("hash"), "extra"))
 
 
 def damaged(record: Column, seed: Column) -> Column:
@@ -111,11 +137,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows, at = [], 0
                 while at < len(data):
                     split = data.find(b"\r\n\r\n", at)
-                    if split < 0:
-                        break
-                    head = data[at:split].decode("utf-8", "replace")
+                    head = data[at : max(split, at)].decode("utf-8", "replace")
                     size = re.search(r"(?im)^content-length:\s*(\d+)", head)
-                    end = split + 4 + int(size[1] if size else 0)
+                    if not head.startswith("WARC/") or not size:
+                        raise ValueError(f"{name}: no record header with a length at byte {at}")
+                    end = split + 4 + int(size[1])
+                    if end + 4 > len(data):
+                        raise ValueError(f"{name}: the record at byte {at} is cut off")
                     uri = re.search(r"(?im)^warc-target-uri:\s*(.*?)\s*$", head)
                     rows.append((name, at, end + 4 - at, uri[1] if uri else None, data[split + 4 : end], data[at : end + 4]))
                     at = end + 4
@@ -133,6 +161,6 @@ def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     hurt = made.withColumn("record", damaged(F.col("record"), F.xxhash64("record_id")))
     second = cut(leaves(hurt), "leaves")
     found = cut(audit(first, second), "audit").select("file", "seq", "hash_b", "status")
-    out = first.join(found, ["file", "seq"], "left")
-    return out.select(F.col("record_id").alias("page_id"), "file", "seq", "offset", "length", F.col("hash").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"), F.coalesce("hash_b", "hash").alias("replica_sha256"))
+    out = first.join(found.where("status != 'extra'"), ["file", "seq"], "left")
+    return out.select(F.col("record_id").alias("page_id"), "file", "seq", "offset", "length", F.col("hash").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"), F.when(F.col("status").isNull(), F.col("hash")).otherwise(F.col("hash_b")).alias("replica_sha256"))
 
