@@ -3,7 +3,8 @@
     <|start|>role<|text|>text<|sep|>text of the next turn of that role<|end|>
     <|start|>...
 
-Inside roles and texts a control string (any <|name|>, and </s>, [INST] and the like of other templates) gets a backslash after
+Inside roles and texts a control string (<|name|> in lower-case letters and underscores, which all markers of this template are,
+and </s>, [INST] and the like of other templates; other strings, such as names with digits, pass as they are) gets a backslash after
 its first bracket, behind those that stand there already; taking one backslash off again is the exact inverse, so neither the
 format nor a tokenizer meets a control string that a user wrote. The loss mask has the character spans of the assistant texts,
 without markers.

@@ -6,9 +6,11 @@ labelled with it. A document goes to the language whose prototype has the greate
 results don't depend on the order of partitions.
 
 Learned from the documents whose crc32(doc_id as text) mod 3 is not 1 and whose lang isn't null; a null doc_id counts as
-remainder 0. Defined results: `und` with score 0 for a null text, one without letters or one too short for a trigram when
-nothing else matches, and for all texts where nothing was learned; ties go to the least language name. Letters outside the
-first two Unicode planes count as separators, save the ideographs of plane 2 and 3.
+remainder 0. Defined results: `und` with score 0 for a null text or one without letters, and for all texts where nothing was
+learned; a text with letters but no trigram that was learned has score 0 and the least language name, as ties do. Letters
+outside the first two Unicode planes count as separators, save planes 2 and 3, all of whose code points count as ideographs;
+combining marks are separators, and where a text
+ends on a letter its last word has no closing trigram. Vectors are worked off in parts of PART distinct trigrams, so memory doesn't grow with them.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from .scan import U64, mix, slices
 DIMENSIONS = 1024
 #: Most languages that prototypes are gathered for; DIMENSIONS doubles each on the driver and in each worker.
 MOST_LANGUAGES = 1000
-#: Rows whose trigram counts are multiplied at once.
+#: Rows whose trigram counts are multiplied at once, and distinct trigrams whose vectors are.
 BLOCK = 128
+PART = 4096
 _PLANES = 0x20000
 _folded: list[np.ndarray] = []
 _letters: dict[int, np.ndarray] = {}
@@ -108,6 +111,27 @@ def trigram_vectors(names: np.ndarray) -> np.ndarray:
     return np.roll(base, 2, axis=1)[at[:, 0]] * np.roll(base, 1, axis=1)[at[:, 1]] * base[at[:, 2]]
 
 
+def bundled(row: np.ndarray, which: np.ndarray, letters: np.ndarray, rows: int) -> np.ndarray:
+    """The bundle of each row: its trigram counts times their vectors, over parts of the trigrams and blocks of rows. row is sorted;
+    which is a place in letters. Sums are of integers under 2**24, or rounded alike in every run."""
+    out = np.zeros((rows, DIMENSIONS), dtype=np.float32)
+    parts = which // PART
+    whole = len(letters) <= PART
+    for part in range(-(-len(letters) // PART)):
+        vectors = trigram_vectors(letters[part * PART : (part + 1) * PART]).astype(np.float32)
+        n = len(vectors)
+        mine = slice(None) if whole else np.flatnonzero(parts == part)
+        r, w = row[mine], which[mine] - part * PART
+        edge = np.searchsorted(r, np.arange(0, rows + BLOCK, BLOCK))
+        for b, begin in enumerate(range(0, rows, BLOCK)):
+            if edge[b] == edge[b + 1]:
+                continue
+            size, here = min(BLOCK, rows - begin), slice(edge[b], edge[b + 1])
+            counts = np.bincount((r[here] - begin) * n + w[here], minlength=size * n).astype(np.float32).reshape(size, n)
+            out[begin : begin + size] += counts @ vectors
+    return out
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
@@ -125,8 +149,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 langs, of = np.unique(names[first:last].astype(str), return_inverse=True)
                 row, which, letters, _ = trigrams(raw, offsets)
                 counts = np.bincount(of[row] * len(letters) + which, minlength=len(langs) * len(letters)).reshape(len(langs), len(letters))
-                for part in range(0, len(letters), 4096):
-                    added = counts[:, part : part + 4096].astype(np.float64) @ trigram_vectors(letters[part : part + 4096]).astype(np.float64)
+                for part in range(0, len(letters), PART):
+                    added = counts[:, part : part + PART].astype(np.float64) @ trigram_vectors(letters[part : part + PART]).astype(np.float64)
                     for i, lang in enumerate(langs):
                         sums.setdefault(lang, np.zeros(DIMENSIONS, dtype=np.int64))
                         sums[lang] += added[i].astype(np.int64)
@@ -155,18 +179,11 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFr
                 if not len(raw):
                     continue
                 row, which, letters, count = trigrams(raw, offsets)
-                vectors = trigram_vectors(letters).astype(np.float32)
-                order = np.searchsorted(row, np.arange(0, last - first + BLOCK, BLOCK))
-                for b, begin in enumerate(range(0, last - first, BLOCK)):
-                    size = min(BLOCK, last - first - begin)
-                    mine = slice(order[b], order[b + 1])
-                    counts = np.bincount((row[mine] - begin) * len(letters) + which[mine], minlength=size * len(letters)).astype(np.float32).reshape(size, len(letters))
-                    texts = counts @ vectors
-                    cosine = texts @ unit / np.maximum(np.linalg.norm(texts, axis=1, keepdims=True), 1e-12)
-                    at = slice(first + begin, first + begin + size)
-                    has = count[begin : begin + size] > 0
-                    best[at] = np.where(has, cosine.argmax(axis=1), -1)
-                    score[at] = np.where(has, np.clip(cosine.max(axis=1), 0, 1), 0)
+                texts = bundled(row, which, letters, last - first)
+                cosine = texts @ unit / np.maximum(np.linalg.norm(texts, axis=1, keepdims=True), 1e-12)
+                has = count > 0
+                best[first:last] = np.where(has, cosine.argmax(axis=1), -1)
+                score[first:last] = np.where(has, np.clip(cosine.max(axis=1), 0, 1), 0)
             names = np.array([*langs, "und"], dtype=object)[best]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
