@@ -8,7 +8,10 @@ spreads of the median of its language and source; the spread is that from the lo
 least. Sketches of fewer than SUPPORT documents merge into that of the language, and those into that of the corpus.
 
 Defined results: a null or empty text has zeros throughout and fails the base rules; null lang or source is a group of its own;
-repeated rows count each; extra columns pass through `filter_quality`; an empty table gives no rows.
+repeated rows count each; extra columns pass through `filter_quality`, whatever their names; an empty table gives no rows.
+
+`filter_quality` writes the narrow measures only. What they reject is named by (doc_id, text, lang, source), on which the verdict
+depends, and taken out of docs by an anti-join: the texts are read twice and never written but as the result.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, broadcast_if, cut, documents, let, words
+from .common import SPACE_CHARS, broadcast_if, cut, documents, drop, let, packed, text_key, words
 
 WINDOW = 8
 FENCE = 6
@@ -27,6 +30,8 @@ SLACK = {"symbols": 5, "length": 40, "lines": 80}
 TWO_SIDED = {"length"}
 #: Threshold rows broadcast at most, about 100 bytes each.
 BROADCAST_GROUPS = 100_000
+#: Rejected rows broadcast at most, about 60 bytes each; beyond it the anti-join shuffles.
+BROADCAST_REJECTED = 1_000_000
 _ORDER = ("n_words", "word_chars", "n_repeat_words")
 
 
@@ -46,7 +51,10 @@ def _repeats(w: Column) -> Column:
 
         return let(let(placed, positions), covered)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+    def windows(one: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(one) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(one, i, WINDOW)))
+
+    hashes = let(F.transform(w, lambda x: F.xxhash64(x)), windows)
     found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(spread(h)))
     return F.when(F.size(w) <= WINDOW, 0).otherwise(found)
 
@@ -127,7 +135,17 @@ def judged(found: DataFrame) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
-    return judged(cut(measured(docs), "measured")).where("_kept").select(docs.columns)
+    names = ["doc_id", "text", "lang", "source"]
+    rows = packed(docs, *names)
+    found = cut(measured(rows.select(*names, *text_key())).drop("text"), "measures")
+    on = ["doc_id", "lang", "source", "_t1", "_t2"]
+    gone = cut(judged(found).where("NOT _kept").select(on).distinct(), "rejected")
+    drop(found)
+    gone = gone.toDF(*(f"x{i}" for i in range(len(on))))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"x{i}"))
+    return rows.withColumns(dict(zip(("_t1", "_t2"), text_key(), strict=True))).join(broadcast_if(gone, gone.count(), BROADCAST_REJECTED), same, "left_anti").select("row.*")
 
 
 def op5_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
