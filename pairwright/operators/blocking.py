@@ -6,12 +6,19 @@ many rows of a token before the shuffle (a window group limit), so the commonest
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import postings
+from pairwright.sources.storage import broadcast_if, cut
+
+from .ranking import ranked
 
 CAP = 50
+#: Tokens broadcast at most (about 30 bytes each).
+BROADCAST_TOKENS = 500_000
 
 
 def block_sizes(posted: DataFrame) -> DataFrame:
@@ -40,14 +47,56 @@ def capped(posted: DataFrame, cap: float = CAP) -> DataFrame:
 
 def capped_two(posted: DataFrame, rho: float, n1: int, n2: int) -> DataFrame:
     """Arrival-order pruning of two sources: a token is banned from the first arrival that finds rho times the size of its own
-    source, less one, on the opposite side; postings before that stay."""
-    by = Window.partitionBy("token").orderBy("seq")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    other = F.when(F.col("ds") == 0, F.count_if(F.col("ds") == 1).over(before)).otherwise(F.count_if(F.col("ds") == 0).over(before))
-    limit = F.when(F.col("ds") == 0, F.lit(rho * n1)).otherwise(F.lit(rho * n2))
-    seen = posted.withColumn("c", other)
-    ban = F.min(F.when((F.col("c") >= 1) & (F.col("c") + 1 >= limit), F.col("seq"))).over(Window.partitionBy("token"))
-    return seen.withColumn("ban", ban).where("ban IS NULL OR seq < ban").select("token", "ds", "id", "seq", "c")
+    source, less one, on the opposite side; postings before that stay. (token, ds, id, seq).
+
+    Only a token with so many postings on a side can be banned at all; its postings alone are ranked, over range partitions, to
+    find the arrival that fills each side. All other tokens are left as they are, so no task holds a token's block."""
+    full = {0: max(1, ceil(rho * n2 - 1e-9) - 1), 1: max(1, ceil(rho * n1 - 1e-9) - 1)}  # of ds, what bans the next arrival of the other
+    sides = posted.groupBy("token").agg(F.count_if(F.col("ds") == 0).alias("n1"), F.count_if(F.col("ds") == 1).alias("n2"))
+    heavy = cut(sides.where((F.col("n1") >= full[0]) & (F.col("n2") > 0) | (F.col("n2") >= full[1]) & (F.col("n1") > 0)).select("token"), "heavy")
+    n = heavy.count()
+    if not n:
+        return posted.select("token", "ds", "id", "seq")
+    rows = ranked(posted.join(broadcast_if(heavy, n, BROADCAST_TOKENS), "token", "left_semi"), F.col("token"), F.col("ds"), F.col("seq"))[0]
+    starts = rows.groupBy("token", "ds").agg(F.min("rank").alias("start"))
+    filled = F.col("rank") - F.col("start") + 1 == F.when(F.col("ds") == 0, full[0]).otherwise(full[1])
+    at = rows.join(starts, ["token", "ds"]).where(filled).select("token", (1 - F.col("ds")).alias("ds"), F.col("seq").alias("after"))
+    bans = rows.join(at, ["token", "ds"]).where("seq > after").groupBy("token").agg(F.min("seq").alias("ban"))
+    banned = posted.join(broadcast_if(bans, n, BROADCAST_TOKENS), "token", "left").where("ban IS NULL OR seq < ban")
+    return banned.select("token", "ds", "id", "seq")
+
+
+def probed(posted: DataFrame, cap: float = CAP) -> DataFrame:
+    """What each arrival finds at its tokens: empty, admissible or oversize; oversize includes all arrivals behind a refused one."""
+    rn = F.row_number().over(Window.partitionBy("token").orderBy("seq", "id"))
+    kind = F.when(rn == 1, "empty").when(rn < cap, "admissible").otherwise("oversize")
+    return posted.withColumn("found", kind)
+
+
+def uncapped_comparisons(posted: DataFrame, size: int) -> DataFrame:
+    """(increment, comparisons) of plain token blocking, by counting: an arrival is compared with all earlier ones of its blocks. No
+    pair is made, and windows run over increments of a token, not over its block."""
+    counts = posted.groupBy("token", F.floor(F.col("seq") / size).alias("increment")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("token").orderBy("increment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    made = F.col("n") * before + F.expr("n * (n - 1) div 2")
+    return counts.withColumn("made", made).groupBy("increment").agg(F.sum("made").alias("comparisons")).where("comparisons > 0")
+
+
+def blocks_of(kept: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The postings of the tokens in a table (token)."""
+    return kept.join(tokens.select("token").distinct(), "token", "left_semi")
+
+
+def associated(kept: DataFrame, ids: DataFrame, predicate: Column | None = None) -> DataFrame:
+    """(id, token, other): who shares a block with the entities (ds, id) of a table, in tokens that meet the predicate."""
+    chosen = kept if predicate is None else kept.where(predicate)
+    mine = chosen.join(ids.select("ds", "id").distinct(), ["ds", "id"], "left_semi").select("token", "id")
+    return mine.join(chosen.select("token", F.col("id").alias("other")), "token").where("id != other").select("id", "token", "other")
+
+
+def models_of(sets: DataFrame, kept: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The token sets of all entities that the tokens of a table reach."""
+    return sets.join(blocks_of(kept, tokens).select("ds", "id").distinct(), ["ds", "id"], "left_semi")
 
 
 def ghosted(kept: DataFrame, beta: float) -> DataFrame:
@@ -80,6 +129,21 @@ def without(posted: DataFrame, banned: DataFrame) -> DataFrame:
     return posted.join(banned.select("token"), "token", "left_anti")
 
 
+def blocked_by(name: str):
+    """The blocker of a name, from (postings, cap, beta) to (kept, alive): kept postings, and those (token, id) in which an arrival is
+    compared. tb: no limit; tbr: capped, with ghosting where beta is given; etbr: capped, always ghosted."""
+    if name not in ("tb", "tbr", "etbr"):
+        raise ValueError(f"no blocker is called {name}")
+
+    def block(posted: DataFrame, cap: float, beta: float) -> tuple[DataFrame, DataFrame | None]:
+        kept = capped(posted, float("inf") if name == "tb" else cap)
+        if name == "etbr" or (name == "tbr" and beta):
+            return kept, ghosted(kept, beta).select("token", "id")
+        return kept, None
+
+    return block
+
+
 def token_blocks(source: DataFrame, cap: float = CAP) -> DataFrame:
     """The kept postings of a source in one step."""
     return capped(postings(source), cap)

@@ -8,25 +8,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
 
-def _arriving():
-    return Window.partitionBy("e2")
+
+def _arriving(by: tuple[str, ...] = ("e2",)):
+    return Window.partitionBy(*by)
 
 
 def redundancy_removed(raw: DataFrame) -> DataFrame:
     return raw.groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("cbs"))
 
 
-def above_mean(pairs: DataFrame, weight: str = "cbs", strict: bool = False) -> DataFrame:
-    """WNP2: at or above the mean of the arriving entity's neighbourhood; strict: above it (WNP), so ties alone keep nothing."""
-    out = pairs.withColumn("_mean", F.avg(weight).over(_arriving()))
+def above_mean(pairs: DataFrame, weight: str = "cbs", strict: bool = False, by: tuple[str, ...] = ("e2",)) -> DataFrame:
+    """WNP2: at or above the mean of the arriving entity's neighbourhood; strict: above it (WNP), so ties alone keep nothing.
+    by: the columns that name the arriving entity."""
+    out = pairs.withColumn("_mean", F.avg(weight).over(_arriving(by)))
     return out.where(F.col(weight) > F.col("_mean") if strict else F.col(weight) >= F.col("_mean")).drop("_mean")
 
 
-def cardinality(pairs: DataFrame) -> DataFrame:
+def below_mean(pairs: DataFrame, weight: str = "cbs") -> DataFrame:
+    """What WNP2 drops."""
+    return pairs.withColumn("_mean", F.avg(weight).over(_arriving())).where(F.col(weight) < F.col("_mean")).drop("_mean")
+
+
+def cardinality(pairs: DataFrame, by: tuple[str, ...] = ("e2",)) -> DataFrame:
     """CNP: the top ceil(raw / distinct - 1) pairs of the arriving entity."""
-    k = F.ceil(F.sum("cbs").over(_arriving()) / F.count(F.lit(1)).over(_arriving()) - 1)
-    at = F.row_number().over(_arriving().orderBy(F.desc("cbs"), "e1"))
+    k = F.ceil(F.sum("cbs").over(_arriving(by)) / F.count(F.lit(1)).over(_arriving(by)) - 1)
+    at = F.row_number().over(_arriving(by).orderBy(F.desc("cbs"), "e1", "e2"))
     return pairs.withColumns({"_k": k, "_at": at}).where("_at <= _k").drop("_k", "_at")
 
 
@@ -59,9 +67,16 @@ def edge_pruned(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("w") >= F.lit(mean))
 
 
+#: Pairs that are taken by a top-k, which merges them in one task; beyond it all pairs are ranked over range partitions.
+TOP = 100_000
+
+
 def edge_topped(pairs: DataFrame, k: int) -> DataFrame:
     """CEP: the top k of all."""
-    return pairs.orderBy(F.desc("w"), "e1", "e2").limit(k)
+    order = (F.desc("w"), F.col("e1"), F.col("e2"))
+    if k <= TOP:
+        return pairs.orderBy(*order).limit(k)
+    return ranked(pairs, *order)[0].where(F.col("rank") <= k).drop("rank")
 
 
 def batch_cleaned(pairs: DataFrame, name: str, k: int = 1) -> DataFrame:
@@ -79,4 +94,9 @@ def batch_cleaned(pairs: DataFrame, name: str, k: int = 1) -> DataFrame:
     raise ValueError(f"no cleaning is called {name}")
 
 
-CLEANERS = {"hs": lambda p: p, "wnp": lambda p: above_mean(p, strict=True), "wnp2": above_mean, "cnp": cardinality}
+CLEANERS = {
+    "hs": lambda p, by=("e2",): p,
+    "wnp": lambda p, by=("e2",): above_mean(p, strict=True, by=by),
+    "wnp2": lambda p, by=("e2",): above_mean(p, by=by),
+    "cnp": cardinality,
+}

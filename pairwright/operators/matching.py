@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Bind a costly expression to a lambda variable, so that Catalyst can't copy it into the places that use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def jaccard() -> Column:
     common = F.size(F.array_intersect("t1", "t2"))
     union = F.size("t1") + F.size("t2") - common
@@ -58,9 +65,70 @@ def edit_distance() -> Column:
     return F.when(most > 0, token_edits() / most).otherwise(0.0)
 
 
-MATCHERS = {"js": jaccard, "ed": lambda: 1 - edit_distance(), "overlap": overlap, "no": lambda: F.lit(0.0)}
+#: A Bloom filter's bits and hashes unless they are given.
+BLOOM_BITS, BLOOM_HASHES = 4096, 4
+
+
+def optimal_bloom(items: int, rate: float) -> tuple[int, int]:
+    """Bits and hashes for so many items at a rate of false positives."""
+    bits = max(1, ceil(-items * log(rate) / log(2) ** 2))
+    return bits, max(1, ceil(bits / max(items, 1) * log(2)))
+
+
+def bloom(tokens: Column | str, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> Column:
+    """The set bits of a filter of string tokens, in order: each token sets (h1 + i * h2) mod bits for i below hashes, h1 and h2 being
+    the first and second 32 bits of its MD5."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+
+    def part(digest: Column, at: int) -> Column:
+        return F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+
+    def places(digest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(part(digest, 1) + i * part(digest, 9), F.lit(bits)))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.transform(tokens, lambda t: F.md5(t)), places))))
+
+
+def might_contain(filter_: Column, token: Column, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> Column:
+    """False: the token is not in the filter."""
+    return F.size(F.array_except(bloom(F.array(token), bits, hashes), filter_)) == 0
+
+
+def bloom_elements(filter_: Column, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> Column:
+    """How many tokens a filter holds, as its set bits suggest."""
+    return F.round(-F.ln(1 - F.size(filter_) / bits) * bits / hashes).cast("long")
+
+
+def bloom_containment(b1: Column, b2: Column, n1: Column, n2: Column, bits: int = BLOOM_BITS) -> Column:
+    """Common set bits over those of the emptier filter, less a malus where the fuller one is saturated: by how much the tokens of
+    its text exceed the bits, over the tokens of the other, 1 at most. n1, n2: tokens of either text."""
+    c1, c2 = F.size(b1), F.size(b2)
+    swap = c1 < c2
+    most, least = F.when(swap, n2).otherwise(n1), F.when(swap, n1).otherwise(n2)
+    malus = F.when(F.greatest(c1, c2) > bits - 0.1, F.least(F.lit(1.0), (most - bits + 0.1) / F.greatest(least, F.lit(1)))).otherwise(0.0)
+    return F.when(F.least(c1, c2) > 0, F.size(F.array_intersect(b1, b2)) / F.least(c1, c2) - malus).otherwise(0.0)
+
+
+def identity(pairs: DataFrame) -> DataFrame:
+    """No matcher: pairs keep the similarity they came with, else their weight, else 0."""
+    if "sim" in pairs.columns:
+        return pairs
+    return pairs.withColumn("sim", F.col("w").cast("double") if "w" in pairs.columns else F.lit(0.0))
+
+
+MATCHERS = {
+    "js": jaccard,
+    "ed": lambda: 1 - edit_distance(),
+    "overlap": overlap,
+    "bf": lambda: let(F.struct(bloom("t1").alias("a"), bloom("t2").alias("b"), F.size("t1").alias("n"), F.size("t2").alias("m")), lambda x: bloom_containment(x["a"], x["b"], x["n"], x["m"])),
+}
 
 
 def scored(pairs: DataFrame, matcher: str = "js") -> DataFrame:
-    """Pairs (with t1, t2) and sim; for `ed` the similarity 1 - distance, so that thresholds select matches."""
+    """Pairs (with t1, t2) and sim; for `ed` the similarity 1 - distance, so that thresholds select matches; `bf` needs tokens as
+    strings; `no` leaves pairs as they are."""
+    if matcher == "no":
+        return identity(pairs)
+    if matcher not in MATCHERS:
+        raise ValueError(f"no matcher is called {matcher}")
     return pairs.withColumn("sim", MATCHERS[matcher]())

@@ -18,11 +18,12 @@ def dirty_pairs(kept: DataFrame) -> DataFrame:
 
 
 def clean_clean_pairs(kept: DataFrame) -> DataFrame:
-    """(e1, e2, token, n1, n2, arriving_ds): e1 of the first source, e2 of the second."""
+    """(e1, e2, token, n1, n2, arriving_ds): e1 of the first source, e2 of the second. Tokens of one source alone go before the join;
+    the join may split a token's block."""
+    sizes = kept.groupBy("token").agg(F.count_if(F.col("ds") == 0).alias("n1"), F.count_if(F.col("ds") == 1).alias("n2")).where("n1 > 0 AND n2 > 0")
     one = kept.where("ds = 0").select("token", F.col("id").alias("e1"), F.col("seq").alias("s1"))
     two = kept.where("ds = 1").select("token", F.col("id").alias("e2"), F.col("seq").alias("s2"))
-    sizes = kept.groupBy("token").agg(F.count_if(F.col("ds") == 0).alias("n1"), F.count_if(F.col("ds") == 1).alias("n2")).where("n1 > 0 AND n2 > 0")
-    return one.join(two, "token").join(sizes, "token").select("e1", "e2", "token", "n1", "n2", (F.col("s2") > F.col("s1")).cast("int").alias("arriving_ds"))
+    return one.join(two.join(sizes, "token"), "token").select("e1", "e2", "token", "n1", "n2", (F.col("s2") > F.col("s1")).cast("int").alias("arriving_ds"))
 
 
 def common_blocks(raw: DataFrame) -> DataFrame:
@@ -34,6 +35,11 @@ def common_blocks(raw: DataFrame) -> DataFrame:
 BROADCAST_TOKENS = 4_000_000
 
 
+def block_lists(kept: DataFrame) -> DataFrame:
+    """(ds, id, tokens): the hashed kept tokens of each entity."""
+    return kept.groupBy("ds", "id").agg(F.collect_list(F.xxhash64("token")).alias("tokens"))
+
+
 def with_tokens(pairs: DataFrame, sets: DataFrame, ds1: int = 0, ds2: int = 0) -> DataFrame:
     """Pairs with both token arrays, t1 and t2, joined late: ids travel alone until here. Sets are broadcast only while their
     counted tokens are few; beyond it the joins shuffle."""

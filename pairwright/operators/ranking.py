@@ -27,10 +27,18 @@ def ranked(df: DataFrame, *order: Column) -> tuple[DataFrame, int]:
     return placed.join(F.broadcast(offsets), "_part").withColumn("rank", F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start"), total
 
 
+def running_sums(df: DataFrame, values: dict[str, Column], size: int = 100_000) -> DataFrame:
+    """Running sums of values by `rank`, over blocks of ranks: sums of blocks first, then within each block."""
+    blocks = df.withColumn("_block", F.floor((F.col("rank") - 1) / size)).withColumns({f"_value_{n}": v for n, v in values.items()})
+    sums = blocks.groupBy("_block").agg(*(F.sum(f"_value_{n}").alias(f"_sum_{n}") for n in values))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_block", *(F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in values))
+    inside = Window.partitionBy("_block").orderBy("rank")
+    within = blocks.withColumns({f"_within_{n}": F.sum(f"_value_{n}").over(inside) for n in values}).join(before, "_block")
+    out = within.withColumns({n: F.col(f"_before_{n}") + F.col(f"_within_{n}") for n in values})
+    return out.drop("_block", *(f"_{part}_{n}" for part in ("value", "within", "before") for n in values))
+
+
 def running_sum(df: DataFrame, value: Column, name: str, size: int = 100_000) -> DataFrame:
-    """Running sum of value by `rank`, over blocks of ranks: sums of blocks first, then within each block."""
-    blocks = df.withColumn("_block", F.floor((F.col("rank") - 1) / size)).withColumn("_value", value)
-    sums = blocks.groupBy("_block").agg(F.sum("_value").alias("_sum"))
-    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.sum("_value").over(Window.partitionBy("_block").orderBy("rank"))
-    return blocks.withColumn("_within", within).join(before, "_block").withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_value", "_within", "_before")
+    """One running sum by `rank`."""
+    return running_sums(df, {name: value}, size)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import block_lists, with_tokens
+
 
 def block_counts(kept: DataFrame) -> DataFrame:
     """(ds, id, nb)"""
@@ -51,14 +53,31 @@ def arcs(raw: DataFrame) -> DataFrame:
     return raw.groupBy("e1", "e2").agg(F.sum(1.0 / block_pairs()).alias("w"))
 
 
-def pair_weighted_by(name: str):
-    """Weighting by the reference's ranker name; an unknown name counts shared blocks."""
+def approximate_common(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(e1, e2, cbs) by intersecting the two block lists, for pairs of one source however they were found."""
+    return with_tokens(pairs.select("e1", "e2"), block_lists(kept)).select("e1", "e2", F.size(F.array_intersect("t1", "t2")).cast("long").alias("cbs"))
+
+
+def arriving_common(raw: DataFrame) -> DataFrame:
+    """(e1, e2, node_ds, node, cbs) of two sources, from (e1, e2, token, arriving_ds): pairs grouped by the end that arrived last."""
+    node = F.when(F.col("arriving_ds") == 1, F.col("e2")).otherwise(F.col("e1"))
+    return raw.groupBy("e1", "e2", F.col("arriving_ds").alias("node_ds"), node.alias("node")).agg(F.count(F.lit(1)).alias("cbs"))
 
-    def weigh(pairs: DataFrame, kept: DataFrame) -> DataFrame:
-        if name == "bjs":
-            return jaccard_of_blocks(pairs, kept, scale=100.0)
-        if name == "js":
-            return jaccard_of_blocks(pairs, kept)
-        return pairs.withColumn("w", F.col("cbs").cast("double"))
 
-    return weigh
+WEIGHTINGS = ("cbs", "js", "bjs", "ncbs", "cbs_max", "arcs")
+
+
+def weighed_by(name: str, pairs: DataFrame, raw: DataFrame, kept: DataFrame, two: bool = False) -> DataFrame:
+    """Pairs (e1, e2, cbs) with w by the weighting of a name; raw: pairs by token, kept: postings."""
+    if name == "cbs":
+        return pairs.withColumn("w", F.col("cbs").cast("double"))
+    if name in ("js", "bjs"):
+        return jaccard_of_blocks(pairs, kept, 0, int(two), 100.0 if name == "bjs" else 1.0)
+    if name == "cbs_max":
+        return over_running_max(pairs).join(pairs.select("e1", "e2", "cbs"), ["e1", "e2"])
+    if name == "ncbs":
+        return normalized(raw).join(pairs.select("e1", "e2", "cbs"), ["e1", "e2"])
+    if name == "arcs":
+        comparisons = F.col("n1") * F.col("n2") if two else block_pairs()
+        return raw.groupBy("e1", "e2").agg(F.sum(1.0 / comparisons).alias("w")).join(pairs.select("e1", "e2", "cbs"), ["e1", "e2"])
+    raise ValueError(f"no weighting is called {name}")

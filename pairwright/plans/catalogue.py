@@ -17,7 +17,9 @@ from pairwright.functions.text import postings, rounded, token_sets
 from pairwright.operators import blocking, cleaning, clustering, evaluate, matching, pairs, prioritize, truth, weighting
 from pairwright.plans import pipeline
 from pairwright.sources import profiles
-from pairwright.streaming import exact, incremental
+from pairwright.sources.storage import cut
+from pairwright.streaming import entity_queue, exact, incremental
+from pairwright.streaming.policy import Fixed
 
 CAP = blocking.CAP
 BETA = 0.05
@@ -26,6 +28,9 @@ RHO = 0.5
 TRUE = 0.8
 INCREMENT = 100
 RUNS = 5
+#: Comparisons for each request of a stream, and in all.
+REQUEST = 1000
+BUDGET = 8000
 
 
 class Base:
@@ -72,9 +77,19 @@ class Base:
     def wnp2(self) -> DataFrame:
         return cleaning.above_mean(self.cbs)
 
+    @cached_property
+    def wnp2_js(self) -> DataFrame:
+        return weighting.jaccard_of_blocks(self.wnp2, self.kept).select("e1", "e2", "w")
+
+    @cached_property
+    def overlaps_two(self) -> DataFrame:
+        found = pairs.common_blocks(pairs.clean_clean_pairs(self.kept_two))
+        return matching.scored(pairs.with_tokens(found.select("e1", "e2"), token_sets(self.both, hashed=True), 0, 1), "overlap")
+
     @cached_property
     def sets(self) -> DataFrame:
-        return token_sets(self.source, hashed=True)
+        """Written once: scoring reads them three times."""
+        return cut(token_sets(self.source, hashed=True), "token-sets")
 
     def scored(self, found: DataFrame, matcher: str = "js") -> DataFrame:
         return matching.scored(pairs.with_tokens(found.select("e1", "e2"), self.sets), matcher)
@@ -321,9 +336,7 @@ def connected_components(b: Base) -> DataFrame:
 
 @query
 def unique_mapping(b: Base) -> DataFrame:
-    found = pairs.common_blocks(pairs.clean_clean_pairs(b.kept_two))
-    scored = matching.scored(pairs.with_tokens(found.select("e1", "e2"), token_sets(b.both, hashed=True), 0, 1), "overlap")
-    return clustering.unique_mapping(scored, 0.1).select("e1", "e2", rounded("sim").alias("sim"))
+    return clustering.unique_mapping(b.overlaps_two, 0.1).select("e1", "e2", rounded("sim").alias("sim"))
 
 
 @query
@@ -384,3 +397,200 @@ def incremental_rerun_baseline(b: Base) -> DataFrame:
 @query
 def fallback_block_walk(b: Base) -> DataFrame:
     return prioritize.leftovers(b.raw, b.wnp2).select("e1", "e2", "bp", "cbs")
+
+
+# ---- ground truth over all pairs, and what is measured by it
+
+
+@query
+def ground_truth_classes(b: Base) -> DataFrame:
+    """Documents of equal token sets (without tokens: of equal texts) under the least id of each."""
+    return b.every.members.select("id", F.col("class").alias("cluster"))
+
+
+@query
+def ground_truth_links(b: Base) -> DataFrame:
+    """The true pairs between these classes; pairs inside of them aren't made."""
+    return b.every.near.select(F.col("a").alias("e1"), F.col("b").alias("e2"))
+
+
+@query
+def ground_truth_clusters(b: Base) -> DataFrame:
+    return clustering.truth_clusters(b.every.edges())
+
+
+@query
+def completeness_of_all_truth(b: Base) -> DataFrame:
+    return evaluate.completeness(b.wnp2.select("e1", "e2"), b.truth, b.every.count())
+
+
+@query
+def metrics_log(b: Base) -> DataFrame:
+    """The collector's log of I-PCS over WNP2 pairs, JS weights and Jaccard."""
+    order = prioritize.ranked(b.wnp2_js, *prioritize.best())[0]
+    found = matching.scored(pairs.with_tokens(order.select("rank", "e1", "e2"), b.sets))
+    found = found.withColumns({"n_tokens": F.size("t1") + F.size("t2"), "increment": profiles.increment(INCREMENT, "e2")})
+    return evaluate.metrics_log(found, b.truth, b.every.count(), "icps", "js")
+
+
+@query
+def match_event_log(b: Base) -> DataFrame:
+    order = prioritize.ranked(b.wnp2_js, *prioritize.best())[0]
+    return evaluate.event_log(evaluate.recall_curve(order, b.truth, b.every.count()), "icps")
+
+
+# ---- blocking: limits relative to the source, none, lookups
+
+
+@query
+def block_pruning_rho(b: Base) -> DataFrame:
+    """The limit as a share of the source: BETA times its profiles."""
+    kept = blocking.capped(postings(b.source), BETA * b.source.count())
+    return kept.select("token", "id", F.col("rn").cast("long").alias("rn"))
+
+
+@query
+def raw_comparisons_uncapped(b: Base) -> DataFrame:
+    return blocking.uncapped_comparisons(postings(b.source), INCREMENT)
+
+
+@query
+def block_probe_classes(b: Base) -> DataFrame:
+    return blocking.probed(postings(b.source), CAP).groupBy("id", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def block_lookup(b: Base) -> DataFrame:
+    """The blocks of the tokens of the benchmark among the documents."""
+    other = profiles.profiles(profiles.read(b.spark, f"{b.dir}/benchmark.parquet"), "item_id", ["text"])
+    return blocking.blocks_of(b.kept, postings(other)).select("token", "id")
+
+
+@query
+def associated_entities(b: Base) -> DataFrame:
+    """Who shares kept tokens of four letters or more with the documents, and how many."""
+    found = blocking.associated(b.kept, b.source, F.length("token") >= 4)
+    return found.groupBy("id", "other").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- weights and cleaning
+
+
+@query
+def wnp2_dropped(b: Base) -> DataFrame:
+    return cleaning.below_mean(b.cbs)
+
+
+@query
+def approximate_cbs(b: Base) -> DataFrame:
+    return weighting.approximate_common(b.wnp2, b.kept)
+
+
+@query
+def js_by_arrival_clean_clean(b: Base) -> DataFrame:
+    """Two sources: WNP2 by the end that arrived last, then JS."""
+    found = weighting.arriving_common(pairs.clean_clean_pairs(b.kept_two))
+    kept = cleaning.above_mean(found, by=("node_ds", "node"))
+    return _w(weighting.jaccard_of_blocks(kept, b.kept_two, 0, 1))
+
+
+# ---- priorities
+
+
+@query
+def pps_stage(b: Base) -> DataFrame:
+    return prioritize.immediate_and_later(b.by_cbs, 3, 5).select("rank", F.col("stage").cast("long").alias("stage"), "e1", "e2", "w")
+
+
+@query
+def bounded_tiers(b: Base) -> DataFrame:
+    return prioritize.bounded_tiers(b.js, 2000).select("rank", "tier", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def bucket_queue_bounded(b: Base) -> DataFrame:
+    return prioritize.buckets(b.js, 10, 2000).select("bucket", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def bucket_queue_halved(b: Base) -> DataFrame:
+    return prioritize.sub_buckets(b.js, 10, 500).select("bucket", "depth", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def arrival_order(b: Base) -> DataFrame:
+    return prioritize.prioritized_by("no", b.by_cbs).select("rank", "e1", "e2", "w")
+
+
+@query
+def similarity_queue(b: Base) -> DataFrame:
+    found = b.scored(b.wnp2, "overlap").select("e1", "e2", F.round("sim", 9).alias("w"))
+    return prioritize.prioritized_by("bf", found, 1000).select("rank", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def entities_in_good_blocks(b: Base) -> DataFrame:
+    return prioritize.entities_in_good_blocks(b.raw, b.by_cbs).select("rank", "entity", "e1", "e2", "w")
+
+
+@query
+def block_cardinality_order(b: Base) -> DataFrame:
+    return prioritize.by_block_cardinality(b.raw, b.by_cbs).select("rank", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def ipes_sequential(b: Base) -> DataFrame:
+    """The sequential fold of I-PES, in requests of REQUEST behind every INCREMENT arrivals."""
+    return entity_queue.fold(b.wnp2_js, INCREMENT, REQUEST)
+
+
+# ---- matching and clustering
+
+
+@query
+def bloom_match(b: Base) -> DataFrame:
+    found = matching.scored(pairs.with_tokens(prioritize.global_top(b.js, REQUEST).select("e1", "e2"), token_sets(b.source)), "bf")
+    return found.select("e1", "e2", rounded("sim").alias("sim"))
+
+
+@query
+def clean_clean_components(b: Base) -> DataFrame:
+    return clustering.components_two(b.overlaps_two, 0.5).select(F.col("ds").cast("long").alias("ds"), "id", "cluster")
+
+
+# ---- progressive streams: RUNS increments, REQUEST pairs behind each, then until BUDGET
+
+
+def _stream(b: Base, source: DataFrame, size: int, **config) -> DataFrame:
+    found = pipeline.progressive_streaming(source, pipeline.Config(increment=size, budget=BUDGET, matcher="no", **config), Fixed(REQUEST))
+    return found.select("request", "rank", "e1", "e2", rounded("w").alias("w"))
+
+
+@query
+def stream_ipcs(b: Base) -> DataFrame:
+    return _stream(b, b.source, _streamed(b), weighting="js")
+
+
+@query
+def stream_ipes(b: Base) -> DataFrame:
+    return _stream(b, b.source, _streamed(b), weighting="bjs", prioritizer="ieps")
+
+
+@query
+def stream_ipbs(b: Base) -> DataFrame:
+    return _stream(b, b.source, _streamed(b), prioritizer="ipbs")
+
+
+@query
+def stream_local_sort(b: Base) -> DataFrame:
+    return _stream(b, b.source, _streamed(b), prioritizer="ilsps")
+
+
+@query
+def stream_ghosted(b: Base) -> DataFrame:
+    return _stream(b, b.source, _streamed(b), cleaning="hs", beta=BETA)
+
+
+@query
+def stream_clean_clean(b: Base) -> DataFrame:
+    return _stream(b, b.both, 2 * _streamed(b), mode="clean_clean", rho=RHO)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue import BETA, CAP, INCREMENT, RATIO, RHO, RUNS, TRUE
+from .catalogue import BETA, BUDGET, CAP, INCREMENT, RATIO, REQUEST, RHO, RUNS, TRUE
 
 _TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[\W_]'), lambda x: length(x) > 0))"
 
@@ -30,6 +30,21 @@ _PARTS = {
     "k2": (("b2",), "SELECT token, ds, id, seq FROM b2 WHERE ban IS NULL OR seq < ban"),
     "p2": (("k2",), "SELECT a.id AS e1, b.id AS e2, a.token FROM k2 a JOIN k2 b ON a.token = b.token AND a.ds = 0 AND b.ds = 1"),
     "c2": (("p2",), "SELECT e1, e2, count(*) AS cbs FROM p2 GROUP BY e1, e2"),
+    "nt": (("s",), "SELECT id, len(ts) AS n FROM s"),
+    "cls": (("s",), "SELECT s.id, min(s.id) OVER (PARTITION BY list_sort(ts), CASE WHEN len(ts) = 0 THEN text ELSE '' END) AS cluster, s.ts, len(ts) AS n FROM s JOIN documents d ON d.doc_id = s.id WHERE text IS NOT NULL"),
+    "rep": (("cls",), "SELECT id, unnest(ts) AS token, n FROM cls WHERE id = cluster"),
+    "near": (("rep",), f"SELECT e1, e2 FROM (SELECT a.id AS e1, b.id AS e2, count(*) AS i, any_value(a.n) AS n1, any_value(b.n) AS n2 FROM rep a JOIN rep b ON a.token = b.token AND a.id < b.id GROUP BY a.id, b.id) WHERE i * 1.0::DOUBLE / (n1 + n2 - i) >= {TRUE}"),
+    "every": (("cls", "near"), "SELECT a.id AS e1, b.id AS e2 FROM cls a JOIN cls b ON a.cluster = b.cluster AND a.id < b.id UNION ALL SELECT least(a.id, b.id), greatest(a.id, b.id) FROM near JOIN cls a ON a.cluster = near.e1 JOIN cls b ON b.cluster = near.e2"),
+    "j2": (("w2", "j"), "SELECT e1, e2, j.w FROM w2 JOIN j USING (e1, e2)"),
+    "jr": (("j2",), "SELECT e1, e2, w, row_number() OVER (ORDER BY w DESC, e1, e2) AS rank FROM j2"),
+    "means": (("sides",), "SELECT node, round(avg(w), 9) AS m FROM sides GROUP BY node"),
+    "bm": (("p", "c"), "SELECT token, round(avg(cbs), 9) AS m FROM p JOIN c USING (e1, e2) GROUP BY token"),
+    "ov2": (("c2", "s2"), "SELECT e1, e2, len(list_intersect(a.ts, b.ts)) * 1.0::DOUBLE / least(len(a.ts), len(b.ts)) AS sim FROM c2 JOIN s2 a ON a.ds = 0 AND a.id = e1 JOIN s2 b ON b.ds = 1 AND b.id = e2"),
+    "pd2": (("k2",), "SELECT a.id AS e1, b.id AS e2, a.token, greatest(a.seq, b.seq) AS came, CASE WHEN b.seq > a.seq THEN 1 ELSE 0 END AS node_ds, CASE WHEN b.seq > a.seq THEN b.id ELSE a.id END AS node FROM k2 a JOIN k2 b ON a.token = b.token AND a.ds = 0 AND b.ds = 1"),
+    "cd2": (("pd2",), "SELECT e1, e2, node_ds, node, came, count(*) AS cbs FROM pd2 GROUP BY ALL"),
+    "wd2": (("cd2",), "SELECT e1, e2, cbs, came FROM (SELECT *, avg(cbs) OVER (PARTITION BY node_ds, node) AS m FROM cd2) WHERE cbs >= m"),
+    "nb2": (("k2",), "SELECT ds, id, count(*) AS nb FROM k2 GROUP BY ds, id"),
+    "gh": (("k",), f"SELECT id, token FROM (SELECT id, token, rn, min(rn) OVER (PARTITION BY id) AS least FROM k WHERE rn > 1) WHERE rn * {BETA} < least"),
     "size": ((), f"SELECT greatest(1, CAST(ceil(count(*) / {RUNS}.0) AS BIGINT)) AS size FROM documents"),
 }
 
@@ -63,6 +78,66 @@ def _rerun() -> str:
     return _sql("SELECT 1", "c", "size").removesuffix("\nSELECT 1") + ",\n" + ",\n".join(parts) + "\n" + " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(RUNS))
 
 
+def _stream(open_: str, order: str, *parts: str, newest: bool = False, size: str = "(SELECT size FROM size)", rounds: bool = False) -> str:
+    """A stream's requests: after increment i the best REQUEST of `open_` (e1, e2, w, came: arrival of the later end, and what the order
+    needs) that arrived so far and didn't go out before; then on to BUDGET. newest: only pairs of the newest increment wait."""
+    steps, n = [f"open_ AS MATERIALIZED (SELECT *, came // {size} AS inc FROM ({open_}))"], BUDGET // REQUEST
+    for i in range(n):
+        skip = f" AND NOT EXISTS (SELECT 1 FROM sent{i - 1} x WHERE x.e1 = o.e1 AND x.e2 = o.e2)" if i else ""
+        waits = f"inc {'=' if newest else '<='} {min(i, RUNS - 1)}"
+        queue = f"SELECT * FROM open_ o WHERE {waits}{skip}"
+        if rounds:
+            ends = f"SELECT *, e1 AS node, e2 AS other FROM ({queue}) UNION ALL SELECT *, e2, e1 FROM ({queue})"
+            queue = f"SELECT e1, e2, any_value(w) AS w, min(place) AS round FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, other) AS place FROM ({ends})) GROUP BY e1, e2"
+        steps.append(f"r{i} AS MATERIALIZED (SELECT {i} AS request, row_number() OVER (ORDER BY {order}) AS rank, e1, e2, w FROM ({queue}) QUALIFY rank <= {REQUEST})")
+        before = f"SELECT * FROM sent{i - 1} UNION ALL " if i else ""
+        steps.append(f"sent{i} AS MATERIALIZED ({before}SELECT e1, e2 FROM r{i})")
+    head = _sql("SELECT 1", *parts, "size").removesuffix("\nSELECT 1")
+    return head + ",\n" + ",\n".join(steps) + "\n" + " UNION ALL ".join(f"SELECT request, rank, e1, e2, round(w, 6) AS w FROM r{i}" for i in range(n))
+
+
+_METRICS = """
+SELECT ec, round(ec * 1.0::DOUBLE / n, 6) AS ec_x, increment, em, round(em * 1.0::DOUBLE / n, 6) AS pc, n AS duplicates, matches, true_matches, round(true_matches * 1.0::DOUBLE / n, 6) AS recall,
+       CASE WHEN matches > 0 THEN round(true_matches * 1.0::DOUBLE / matches, 6) ELSE 0 END AS precision, ec - lag(ec, 1, 0) OVER w AS comps,
+       round((tokens - lag(tokens, 1, 0) OVER w) * 1.0::DOUBLE / (ec - lag(ec, 1, 0) OVER w), 6) AS compsize, 'icps' AS method, 'js' AS ranking
+FROM (SELECT rank AS ec, increment, hit, CAST(sum(hit) OVER r AS BIGINT) AS em, CAST(sum(m) OVER r AS BIGINT) AS matches, CAST(sum(m * hit) OVER r AS BIGINT) AS true_matches, CAST(sum(size) OVER r AS BIGINT) AS tokens,
+        (SELECT greatest(1, count(*)) FROM every) AS n, count(*) OVER () AS last
+      FROM (SELECT rank, jr.e2 // {increment} AS increment, CASE WHEN every.e1 IS NULL THEN 0 ELSE 1 END AS hit, CAST(ms.sim >= 0.1 AS BIGINT) AS m, len(t1) + len(t2) AS size
+            FROM jr JOIN ms ON ms.e1 = jr.e1 AND ms.e2 = jr.e2 LEFT JOIN every ON every.e1 = jr.e1 AND every.e2 = jr.e2) WINDOW r AS (ORDER BY rank))
+WHERE floor(em * 1.0::DOUBLE / n / 0.02 + 1e-9) > floor((em - hit) * 1.0::DOUBLE / n / 0.02 + 1e-9) OR ((SELECT count(*) FROM every) > 0 AND ec % n = 0) OR ec = last
+WINDOW w AS (ORDER BY ec)
+"""
+
+_HALVED = """
+, l AS (SELECT e1, e2, w, CAST(floor(least(10, floor(w * 10 * 1024) / 1024) * 1024) AS BIGINT) AS leaf FROM j),
+lc AS (SELECT leaf, count(*) AS c FROM l GROUP BY leaf),
+ld AS (SELECT leaf, CASE {cases} ELSE 10 END AS depth FROM lc)
+SELECT e1, e2, round(w, 6) AS w, CAST(depth AS BIGINT) AS depth, leaf // CAST(pow(2, 10 - depth) AS BIGINT) AS bucket FROM l JOIN ld USING (leaf)
+""".format(cases=" ".join(f"WHEN sum(c) OVER (PARTITION BY leaf // {1 << (10 - d)}) <= 500 THEN {d}" for d in range(10)))
+
+_BLOOM = """
+, top AS (SELECT e1, e2 FROM j ORDER BY w DESC, e1, e2 LIMIT 1000),
+h AS (SELECT id, list_sort(list_distinct(flatten(list_transform(ts, lambda t: list_transform(range(0, 4), lambda i: (('0x' || substr(md5(t), 1, 8))::BIGINT + i * ('0x' || substr(md5(t), 9, 8))::BIGINT) % 4096))))) AS bits, len(ts) AS n
+      FROM s WHERE id IN (SELECT e1 FROM top UNION SELECT e2 FROM top))
+SELECT e1, e2, round(CASE WHEN least(len(a.bits), len(b.bits)) > 0 THEN len(list_intersect(a.bits, b.bits)) * 1.0::DOUBLE / least(len(a.bits), len(b.bits))
+         - CASE WHEN greatest(len(a.bits), len(b.bits)) > 4096 - 0.1 THEN least(1.0, (CASE WHEN len(a.bits) < len(b.bits) THEN b.n ELSE a.n END - 4096 + 0.1) / greatest(1, CASE WHEN len(a.bits) < len(b.bits) THEN a.n ELSE b.n END)) ELSE 0 END
+       ELSE 0 END, 6) AS sim
+FROM top JOIN h a ON a.id = e1 JOIN h b ON b.id = e2
+"""
+
+
+def _unique_mapping() -> str:
+    """Rounds of mutually best pairs as a recursion: a round's rows are those that no earlier round took an end of."""
+    best = "row_number() OVER (PARTITION BY {0}e1 ORDER BY sim DESC, e1, e2) AS a, row_number() OVER (PARTITION BY {0}e2 ORDER BY sim DESC, e1, e2) AS b"
+    return _sql("SELECT 1", "ov2").removesuffix("\nSELECT 1") + f""",
+r AS (
+  SELECT 0 AS round, e1, e2, sim FROM ov2 WHERE sim > 0.1
+  UNION ALL SELECT round + 1, e1, e2, sim FROM (
+    SELECT *, max(won) OVER (PARTITION BY e1) AS m1, max(won) OVER (PARTITION BY e2) AS m2 FROM (
+      SELECT *, CASE WHEN a = 1 AND b = 1 THEN 1 ELSE 0 END AS won FROM (SELECT *, {best.format('')} FROM r))) WHERE m1 = 0 AND m2 = 0)
+SELECT e1, e2, round(sim, 6) AS sim FROM (SELECT *, {best.format('round, ')} FROM r) WHERE a = 1 AND b = 1"""
+
+
 ORACLES: dict[str, str] = {
     "tokenize_documents": _sql("SELECT id, token FROM t", "t"),
     "token_block_sizes": _sql("SELECT token, count(*) AS n FROM t GROUP BY token HAVING count(*) > 1", "t"),
@@ -119,4 +194,40 @@ ORACLES: dict[str, str] = {
     "clean_clean_end_to_end": _sql("SELECT e1, e2, round(CASE WHEN len(a.ts) + len(b.ts) > 0 THEN len(list_intersect(a.ts, b.ts)) * 1.0::DOUBLE / (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))) ELSE 0 END, 6) AS sim FROM (SELECT e1, e2 FROM (SELECT *, avg(cbs) OVER (PARTITION BY e2) AS m FROM c2) WHERE cbs >= m) JOIN s2 a ON a.ds = 0 AND a.id = e1 JOIN s2 b ON b.ds = 1 AND b.id = e2", "c2"),
     "incremental_rerun_baseline": _rerun(),
     "fallback_block_walk": _sql("SELECT e1, e2, l.bp AS bp, cbs FROM least WHERE (e1, e2) NOT IN (SELECT (e1, e2) FROM w2)", "least", "w2"),
+    "ground_truth_classes": _sql("SELECT id, cluster FROM cls", "cls"),
+    "ground_truth_links": _sql("SELECT e1, e2 FROM near", "near"),
+    "ground_truth_clusters": _sql("SELECT 1", "every").removesuffix("\nSELECT 1") + ",\ne AS (SELECT e1 AS a, e2 AS b FROM every UNION SELECT e2, e1 FROM every),\nr AS (SELECT a AS id, a AS o FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a)\nSELECT id, min(o) AS cluster FROM r GROUP BY id",
+    "completeness_of_all_truth": _sql("SELECT comparisons, found, truth, coalesce(round(found * 1.0::DOUBLE / nullif(truth, 0), 6), 0) AS pc, coalesce(round(found * 1.0::DOUBLE / nullif(comparisons, 0), 6), 0) AS pq FROM (SELECT (SELECT count(*) FROM w2) AS comparisons, (SELECT count(*) FROM w2 JOIN every USING (e1, e2)) AS found, (SELECT count(*) FROM every) AS truth)", "w2", "every"),
+    "metrics_log": _sql(_METRICS.replace("{increment}", str(INCREMENT)), "jr", "ms", "every"),
+    "match_event_log": _sql("SELECT rank, e1 || '-' || e2 AS pair, count(*) OVER (ORDER BY rank) AS found, round(count(*) OVER (ORDER BY rank) * 1.0::DOUBLE / (SELECT count(*) FROM every), 6) AS pc, 'icps' AS method FROM jr JOIN every USING (e1, e2)", "jr", "every"),
+    "block_pruning_rho": _sql(f"SELECT token, id, rn FROM (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY id) AS rn FROM t) WHERE rn = 1 OR rn < {BETA}::DOUBLE * (SELECT count(*) FROM documents)", "t"),
+    "raw_comparisons_uncapped": _sql(f"SELECT id // {INCREMENT} AS increment, CAST(sum(rn - 1) AS BIGINT) AS comparisons FROM (SELECT id, row_number() OVER (PARTITION BY token ORDER BY id) AS rn FROM t) GROUP BY 1 HAVING sum(rn - 1) > 0", "t"),
+    "block_probe_classes": _sql(f"SELECT id, found, count(*) AS n FROM (SELECT id, CASE WHEN rn = 1 THEN 'empty' WHEN rn < {CAP} THEN 'admissible' ELSE 'oversize' END AS found FROM (SELECT id, row_number() OVER (PARTITION BY token ORDER BY id) AS rn FROM t)) GROUP BY id, found", "t"),
+    "block_lookup": _sql("SELECT token, id FROM k WHERE token IN (SELECT token FROM t2 WHERE ds = 1)", "k", "t2"),
+    "associated_entities": _sql("SELECT a.id, b.id AS other, count(*) AS n FROM k a JOIN k b ON a.token = b.token AND a.id != b.id WHERE length(a.token) >= 4 GROUP BY a.id, b.id", "k"),
+    "wnp2_dropped": _sql("SELECT e1, e2, cbs FROM (SELECT *, avg(cbs) OVER (PARTITION BY e2) AS m FROM c) WHERE cbs < m", "c"),
+    "approximate_cbs": _sql("SELECT * FROM w2", "w2"),
+    "js_by_arrival_clean_clean": _sql("SELECT e1, e2, round(cbs * 1.0::DOUBLE / (a.nb + b.nb - cbs), 6) AS w FROM wd2 JOIN nb2 a ON a.ds = 0 AND a.id = e1 JOIN nb2 b ON b.ds = 1 AND b.id = e2", "wd2", "nb2"),
+    "pps_stage": _sql(
+        "SELECT row_number() OVER (ORDER BY stage, turn, m DESC, entity, w DESC, e1, e2) AS rank, stage, e1, e2, w FROM (SELECT 1 AS stage, e2 AS turn, 0.0::DOUBLE AS m, 0 AS entity, e1, e2, w FROM a WHERE n <= 3 "
+        "UNION ALL SELECT 2, 0, m, e1, e1, e2, w FROM (SELECT e1, e2, w, round(avg(w) OVER (PARTITION BY e1), 9) AS m, row_number() OVER (PARTITION BY e1 ORDER BY w DESC, e2) AS place FROM a WHERE n > 3) WHERE place <= 15)", "c").replace(
+        "\nSELECT row_number", ",\na AS (SELECT e1, e2, cbs AS w, row_number() OVER (PARTITION BY e2 ORDER BY cbs DESC, e1) AS n FROM c)\nSELECT row_number", 1),
+    "bounded_tiers": _sql("SELECT rank, CASE WHEN rank <= 2000 THEN 1 WHEN rank <= 2200 THEN 2 WHEN rank <= 2220 THEN 3 ELSE 4 END AS tier, e1, e2, round(w, 6) AS w FROM (SELECT *, row_number() OVER (ORDER BY w DESC, e1, e2) AS rank FROM j) WHERE rank <= 2222", "j"),
+    "bucket_queue_bounded": _sql("SELECT b AS bucket, e1, e2, round(w, 6) AS w FROM (SELECT *, count(*) OVER (ORDER BY b DESC) AS upto FROM (SELECT *, CAST(least(10, floor(w * 10)) AS BIGINT) AS b FROM j)) WHERE upto <= 2000", "j"),
+    "bucket_queue_halved": _sql("SELECT 1", "j").removesuffix("\nSELECT 1") + _HALVED,
+    "arrival_order": _sql("SELECT row_number() OVER (ORDER BY e2, e1) AS rank, e1, e2, cbs AS w FROM c", "c"),
+    "similarity_queue": _sql("SELECT row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, e1, e2, round(w, 6) AS w FROM (SELECT e1, e2, CASE WHEN least(len(t1), len(t2)) > 0 THEN round(i * 1.0::DOUBLE / least(len(t1), len(t2)), 9) ELSE 0 END AS w FROM m2 ORDER BY w DESC, e1, e2 LIMIT 1000)", "m2"),
+    "entities_in_good_blocks": _sql(
+        "SELECT row_number() OVER (ORDER BY greatest(a.m, b.m) DESC, CASE WHEN a.m > b.m OR (a.m = b.m AND e1 < e2) THEN e1 ELSE e2 END, cbs DESC, e1, e2) AS rank, CASE WHEN a.m > b.m OR (a.m = b.m AND e1 < e2) THEN e1 ELSE e2 END AS entity, e1, e2, cbs AS w "
+        "FROM (SELECT DISTINCT e1, e2 FROM p WHERE token IN (SELECT token FROM bm WHERE m > (SELECT avg(m) FROM bm))) JOIN c USING (e1, e2) JOIN means a ON a.node = e1 JOIN means b ON b.node = e2", "bm", "means"),
+    "block_cardinality_order": _sql("SELECT row_number() OVER (ORDER BY w DESC, e1, e2) AS rank, e1, e2, round(w, 6) AS w FROM (SELECT e1, e2, round(cbs * 1.0::DOUBLE / l.bp, 9) AS w FROM least)", "least"),
+    "bloom_match": _sql("SELECT 1", "j", "s").removesuffix("\nSELECT 1") + _BLOOM,
+    "unique_mapping": _unique_mapping(),
+    "clean_clean_components": _sql("SELECT 1", "ov2").removesuffix("\nSELECT 1") + ",\nm AS (SELECT e1, e2 + (SELECT max(e1) + 1 FROM ov2 WHERE sim > 0.5) AS e2 FROM ov2 WHERE sim > 0.5),\ne AS (SELECT e1 AS a, e2 AS b FROM m UNION SELECT e2, e1 FROM m),\nr AS (SELECT a AS id, a AS o FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a)\nSELECT CAST(id > (SELECT max(e1) FROM m) AS BIGINT) AS ds, CASE WHEN id > (SELECT max(e1) FROM m) THEN id - (SELECT max(e1) FROM m) - 1 ELSE id END AS id, min(o) AS cluster FROM r GROUP BY r.id",
+    "stream_ipcs": _stream("SELECT e1, e2, w, e2 AS came FROM j2", "w DESC, e1, e2", "j2"),
+    "stream_ipes": _stream("SELECT e1, e2, w * 100 AS w, e2 AS came FROM j2", "round > 60, round, w DESC, e1, e2", "j2", rounds=True),
+    "stream_ipbs": _stream("SELECT e1, e2, cbs * 1.0::DOUBLE AS w, cbs, e2 AS came, bp FROM w2 JOIN (SELECT a.id AS e1, b.id AS e2, min(b.m * (b.m - 1) // 2) AS bp FROM k a JOIN (SELECT id, token, count(*) OVER (PARTITION BY token ORDER BY id // (SELECT size FROM size)) AS m FROM k) b ON a.token = b.token AND a.id < b.id GROUP BY a.id, b.id) USING (e1, e2)", "bp, cbs DESC, e1, e2", "w2", "size"),
+    "stream_local_sort": _stream("SELECT e1, e2, cbs * 1.0::DOUBLE AS w, e2 AS came FROM w2", "w DESC, e1, e2", "w2", newest=True),
+    "stream_ghosted": _stream("SELECT a.id AS e1, b.id AS e2, count(*) * 1.0::DOUBLE AS w, b.id AS came FROM k a JOIN k b ON a.token = b.token AND a.id < b.id WHERE EXISTS (SELECT 1 FROM gh WHERE gh.id = b.id AND gh.token = b.token) GROUP BY a.id, b.id", "w DESC, e1, e2", "k", "gh"),
+    "stream_clean_clean": _stream("SELECT e1, e2, cbs * 1.0::DOUBLE AS w, came FROM wd2", "w DESC, e1, e2", "wd2", size="(SELECT 2 * size FROM size)"),
 }

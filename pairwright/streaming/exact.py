@@ -1,6 +1,6 @@
 """Ghosting in its exact, order-dependent form: the index takes a token of an arrival only if the token survived pruning and
-ghosting then, so each decision depends on all earlier ones. That is one sequential fold; it runs in one task by nature, over
-tokens of one group, and serves as the yardstick of the relational form."""
+ghosting then, so each decision depends on all earlier ones. That is one sequential fold; it runs in one task by nature, and serves
+as the yardstick of the relational form: more than MOST postings are refused."""
 
 from __future__ import annotations
 
@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Postings that one fold may hold (some 100 bytes each).
+MOST = 20_000_000
+
+
 def fold(profiles: pd.DataFrame, cap: float, beta: float) -> pd.DataFrame:
     """(e1, e2, token) of one source of (id, seq, tokens) in arrival order."""
     index: dict[str, list[int]] = {}
@@ -38,4 +42,7 @@ def fold(profiles: pd.DataFrame, cap: float, beta: float) -> pd.DataFrame:
 
 def exact_pairs(sets: DataFrame, cap: float, beta: float) -> DataFrame:
     """(e1, e2, token) from token sets (ds, id, seq, tokens) of one source, with one fold for each ds."""
+    n = sets.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    if n > MOST:
+        raise ValueError(f"{n} postings are more than the {MOST} that one fold holds; use blocking.ghosted")
     return sets.select("ds", "id", "seq", F.array_sort("tokens").alias("tokens")).groupBy("ds").applyInPandas(lambda p: fold(p, cap, beta), "e1 long, e2 long, token string")
