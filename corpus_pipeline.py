@@ -52,9 +52,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written before the next reads it."""
-    from pairwright.llm.common import cut
+    from pairwright.llm.common import cut, drop
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, cut(stage(spark, docs, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
