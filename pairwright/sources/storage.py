@@ -38,7 +38,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 def drop(*tables: DataFrame | None) -> None:
     """Delete what `cut` wrote, once nothing reads it any more; tables that `cut` didn't return are left alone."""
     for df in tables:
-        path = getattr(df, "_written", None)
+        path = None if df is None else vars(df).get("_written")
         if path:
             spark = df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
