@@ -10,7 +10,8 @@ value in the document throughout (for names also the other way round), save for
 `literals` words of its own joins by its exact tokens, so tables of numbers don't match each other.
 
 Values may differ in length: where names or numbers adjoin, a text's windows are taken once more with each such run as one
-token ('Mary Ann', '1 000'), and alignments are sought among both readings of either side.
+token ('Mary Ann', '1 000'; a capitalised word that begins a sentence belongs to the names behind it), and alignments are sought among
+both readings of either side.
 
 A document is contaminated by an item if one alignment is consistent and covers RUN windows (13 tokens in a row where they
 adjoin) or all windows of a shorter item. An item under WINDOW tokens is one window; one under `shortest` tokens counts only
