@@ -14,9 +14,11 @@ def let(value: Column, body) -> Column:
 
 
 def jaccard() -> Column:
-    common = F.size(F.array_intersect("t1", "t2"))
-    union = F.size("t1") + F.size("t2") - common
-    return F.when(union > 0, common / union).otherwise(0.0)
+    def share(common: Column) -> Column:
+        union = F.size("t1") + F.size("t2") - common
+        return F.when(union > 0, common / union).otherwise(0.0)
+
+    return let(F.size(F.array_intersect("t1", "t2")), share)
 
 
 def may_reach(pairs: DataFrame, kept: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:

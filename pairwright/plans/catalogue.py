@@ -594,3 +594,11 @@ def stream_ghosted(b: Base) -> DataFrame:
 @query
 def stream_clean_clean(b: Base) -> DataFrame:
     return _stream(b, b.both, 2 * _streamed(b), mode="clean_clean", rho=RHO)
+
+
+@query
+def stream_metrics_log(b: Base) -> DataFrame:
+    """The log of stream_ipcs, scored by Jaccard; increment is the request."""
+    config = pipeline.Config(increment=_streamed(b), budget=BUDGET, weighting="js")
+    found = pipeline.progressive_streaming(b.source, config, Fixed(REQUEST))
+    return pipeline.stream_log(found, b.truth, b.every.count(), config)

@@ -96,6 +96,15 @@ def _stream(open_: str, order: str, *parts: str, newest: bool = False, size: str
     return head + ",\n" + ",\n".join(steps) + "\n" + " UNION ALL ".join(f"SELECT request, rank, e1, e2, round(w, 6) AS w FROM r{i}" for i in range(n))
 
 
+def _stream_log() -> str:
+    """The log of stream_ipcs: its requests in order stand for the ranks."""
+    head, body = _stream("SELECT e1, e2, w, e2 AS came FROM j2", "w DESC, e1, e2", "j2", "s", "ms", "every").rsplit("\nSELECT request", 1)
+    sent = f",\nst AS (SELECT e1, e2, request AS increment, row_number() OVER (ORDER BY request, rank) AS rank FROM (SELECT request{body}))"
+    source = "SELECT rank, jr.e2 // {increment} AS increment", "FROM jr JOIN ms ON ms.e1 = jr.e1 AND ms.e2 = jr.e2 LEFT JOIN every ON every.e1 = jr.e1 AND every.e2 = jr.e2", "len(t1) + len(t2) AS size"
+    log = _METRICS.replace(source[0], "SELECT rank, increment").replace(source[1], source[1].replace("jr", "st")).replace(source[2], "0 AS size")
+    return head + sent + log
+
+
 _METRICS = """
 SELECT ec, round(ec * 1.0::DOUBLE / n, 6) AS ec_x, increment, em, round(em * 1.0::DOUBLE / n, 6) AS pc, n AS duplicates, matches, true_matches, round(true_matches * 1.0::DOUBLE / n, 6) AS recall,
        CASE WHEN matches > 0 THEN round(true_matches * 1.0::DOUBLE / matches, 6) ELSE 0 END AS precision, ec - lag(ec, 1, 0) OVER w AS comps,
@@ -225,6 +234,7 @@ ORACLES: dict[str, str] = {
     "unique_mapping": _unique_mapping(),
     "clean_clean_components": _sql("SELECT 1", "ov2").removesuffix("\nSELECT 1") + ",\nm AS (SELECT e1, e2 + (SELECT max(e1) + 1 FROM ov2 WHERE sim > 0.5) AS e2 FROM ov2 WHERE sim > 0.5),\ne AS (SELECT e1 AS a, e2 AS b FROM m UNION SELECT e2, e1 FROM m),\nr AS (SELECT a AS id, a AS o FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a)\nSELECT CAST(id > (SELECT max(e1) FROM m) AS BIGINT) AS ds, CASE WHEN id > (SELECT max(e1) FROM m) THEN id - (SELECT max(e1) FROM m) - 1 ELSE id END AS id, min(o) AS cluster FROM r GROUP BY r.id",
     "stream_ipcs": _stream("SELECT e1, e2, w, e2 AS came FROM j2", "w DESC, e1, e2", "j2"),
+    "stream_metrics_log": _stream_log(),
     "stream_ipes": _stream("SELECT e1, e2, w * 100 AS w, e2 AS came FROM j2", "round > 60, round, w DESC, e1, e2", "j2", rounds=True),
     "stream_ipbs": _stream("SELECT e1, e2, cbs * 1.0::DOUBLE AS w, cbs, e2 AS came, bp FROM w2 JOIN (SELECT a.id AS e1, b.id AS e2, min(b.m * (b.m - 1) // 2) AS bp FROM k a JOIN (SELECT id, token, count(*) OVER (PARTITION BY token ORDER BY id // (SELECT size FROM size)) AS m FROM k) b ON a.token = b.token AND a.id < b.id GROUP BY a.id, b.id) USING (e1, e2)", "bp, cbs DESC, e1, e2", "w2", "size"),
     "stream_local_sort": _stream("SELECT e1, e2, cbs * 1.0::DOUBLE AS w, e2 AS came FROM w2", "w DESC, e1, e2", "w2", newest=True),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import postings, token_sets
-from pairwright.operators import blocking, cleaning, evaluate, matching, pairs, prioritize, weighting
+from pairwright.operators import blocking, cleaning, evaluate, matching, pairs, prioritize, ranking, weighting
 from pairwright.streaming import incremental
 from pairwright.streaming import progressive as stream_progressive
 
@@ -121,6 +121,12 @@ def progressive_streaming(source: DataFrame, config: Config = Config(), policy=N
     return _scored(released.select("request", "rank", "e1", "e2", "w", "increment"), source, config).select("request", "rank", "e1", "e2", "w", "sim", "increment")
 
 
+def stream_log(released: DataFrame, truth: DataFrame, total: int, config: Config) -> DataFrame:
+    """The collector's log of what a stream released (request, rank, e1, e2, sim and the rest), in the order of its requests."""
+    order = ranking.ranked(released.withColumnRenamed("rank", "place").drop("increment"), F.col("request"), F.col("place"))[0]
+    return evaluate.metrics_log(order.withColumnRenamed("request", "increment"), truth, total, config.prioritizer, config.weighting)
+
+
 def streaming(source: DataFrame, config: Config = Config()) -> DataFrame:
     """Increment by increment: (e1, e2, cbs, increment), all pairs of one source's capped blocks. Nothing is cleaned, ordered or
     scored, whatever the defaults of Config; a field that asks for more than increment and cap is an error."""

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.operators.ranking import ranked
+
 
 def read(spark: SparkSession, path: str, fmt: str | None = None, **options: str) -> DataFrame:
     """A table in any format that Spark reads; the format follows from the ending unless it is given."""
@@ -21,16 +23,24 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, **options: str)
     return spark.read.format(kind).options(**options).load(path)
 
 
-def profiles(table: DataFrame, key: str, columns: Sequence[str], ds: int = 0) -> DataFrame:
-    """One source: id from a stable key, arrival by id."""
-    text = F.concat_ws(" ", *(F.col(c).cast("string") for c in columns))
-    return table.select(F.lit(ds).alias("ds"), F.col(key).cast("long").alias("id"), F.col(key).cast("long").alias("seq"), text.alias("text"))
+def numbered(table: DataFrame, *keys: str) -> DataFrame:
+    """table with `id`, the place of each row in the order of its keys, from 0: ids for keys of any type, or an arrival order from
+    columns such as times. Rows of equal keys get places of their own."""
+    return ranked(table, *(F.col(k) for k in keys))[0].withColumn("id", F.col("rank") - 1).drop("rank")
+
+
+def _as_profiles(table: DataFrame, key: str, text: Column, ds: int, order: str | None) -> DataFrame:
+    return table.select(F.lit(ds).alias("ds"), F.col(key).cast("long").alias("id"), F.col(order or key).cast("long").alias("seq"), text.alias("text"))
+
+
+def profiles(table: DataFrame, key: str, columns: Sequence[str], ds: int = 0, order: str | None = None) -> DataFrame:
+    """One source: id from a stable key of numbers (see `numbered` for others), arrival by the column order, or by id."""
+    return _as_profiles(table, key, F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)), ds, order)
 
 
-def attribute_profiles(table: DataFrame, key: str, attrs: str, ds: int = 0) -> DataFrame:
+def attribute_profiles(table: DataFrame, key: str, attrs: str, ds: int = 0, order: str | None = None) -> DataFrame:
     """One source whose attributes are an array of (name, value); only the values are read."""
-    text = F.array_join(F.transform(attrs, lambda a: a["value"]), " ")
-    return table.select(F.lit(ds).alias("ds"), F.col(key).cast("long").alias("id"), F.col(key).cast("long").alias("seq"), text.alias("text"))
+    return _as_profiles(table, key, F.array_join(F.transform(attrs, lambda a: a["value"]), " "), ds, order)
 
 
 def interleave(first: DataFrame, second: DataFrame) -> DataFrame:

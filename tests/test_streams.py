@@ -316,3 +316,13 @@ def test_propagation_of_two_sources(spark):
     assert rows(profiles.ground_truth(table, limit1=2), "e1", "e2") == [(0, 3), (1, 9)]
     cbs = pairs.common_blocks(spark.createDataFrame([(0, 3, "a"), (5, 6, "a")], "e1 long, e2 long, token string"))
     assert rows(evaluate.flagged(cbs, table), "e1", "e2", "hit") == [(0, 3, 1), (5, 6, 0)]
+
+
+def test_keys_of_any_type_and_an_order_column(spark):
+    df = spark.createDataFrame([("b", "x y", 5), ("a", "y", 9), ("c", "x", 1)], "key string, body string, time long")
+    byname = profiles.numbered(df, "key")
+    assert rows(byname, "key", "id") == [("a", 0), ("b", 1), ("c", 2)]
+    source = profiles.profiles(byname, "id", ["body"], order="time")
+    assert rows(source, "id", "seq", "text") == [(0, 9, "y"), (1, 5, "x y"), (2, 1, "x")]
+    raw = pairs.dirty_pairs(blocking.capped(postings(source), 50))
+    assert rows(raw, "e1", "e2", "token") == [(1, 0, "y"), (2, 1, "x")], "e1 arrived first"
