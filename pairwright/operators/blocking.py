@@ -61,7 +61,7 @@ def capped_two(posted: DataFrame, rho: float, n1: int, n2: int) -> DataFrame:
     starts = rows.groupBy("token", "ds").agg(F.min("rank").alias("start"))
     filled = F.col("rank") - F.col("start") + 1 == F.when(F.col("ds") == 0, full[0]).otherwise(full[1])
     at = rows.join(starts, ["token", "ds"]).where(filled).select("token", (1 - F.col("ds")).alias("ds"), F.col("seq").alias("after"))
-    bans = rows.join(at, ["token", "ds"]).where("seq > after").groupBy("token").agg(F.min("seq").alias("ban"))
+    bans = cut(rows.join(at, ["token", "ds"]).where("seq > after").groupBy("token").agg(F.min("seq").alias("ban")), "bans")
     banned = posted.join(broadcast_if(bans, n, BROADCAST_TOKENS), "token", "left").where("ban IS NULL OR seq < ban")
     return banned.select("token", "ds", "id", "seq")
 
