@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import postings, token_sets
-from pairwright.operators import blocking, cleaning, matching, packed, pairs, weighting
+from pairwright.operators import blocking, cleaning, matching, packed, pairs, truth, weighting
 
 SCHEMA = "ds int, id long, seq long, text string"
 
@@ -61,3 +61,25 @@ def test_pairs_travel_without_token_arrays(spark, tables):
     for name in ("jaccard_match",):
         plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
         assert "array_intersect" not in plan and "Join" not in plan, name
+
+
+@pytest.mark.parametrize("size", [1_000_000, 7])
+def test_true_pairs_among_blocks(spark, monkeypatch, size):
+    """Classes beyond the cap, near classes, random sets: all pairs, and those that share a block, against plain Python."""
+    monkeypatch.setattr(packed, "SLICE", size)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(20)]
+    texts = [" ".join(rng.sample(base, 20)) for _ in range(30)] + [" ".join([*base[:19], f"x{i % 3}"]) for i in range(40)]
+    texts += [" ".join(rng.sample("abcdefghijkl", rng.randint(1, 8))) for _ in range(80)] + ["", "", "?!", None]
+    rng.shuffle(texts)
+    sets = [set((t or "").replace("?!", "").split()) for t in texts]
+    source = spark.createDataFrame([(0, i, i, t) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    every = truth.Truth(source.select("id", "text"), 0.8)
+    near = lambda i, j: (sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8) or (texts[i] is not None and texts[i] == texts[j])
+    want = [(i, j) for j in range(len(texts)) for i in range(j) if near(i, j)]
+    assert rows(every.pairs().select("e1", "e2")) == want or rows(every.pairs().select("e1", "e2")) == sorted(want)
+    assert every.count() == len(want)
+    cbs = pairs.common_blocks(pairs.dirty_pairs(blocking.capped(postings(source), 8)))
+    both = {(r["e1"], r["e2"]) for r in cbs.collect()}
+    got = rows(every.among(packed.blocks(source, 8), 8))
+    assert got == sorted(p for p in want if p in both) != sorted(want)
