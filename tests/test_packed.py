@@ -58,7 +58,7 @@ def test_pairs_travel_without_token_arrays(spark, tables):
     """What failed at size: the scored pairs' joins shuffled both token arrays of each pair."""
     from pairwright.plans.catalogue import QUERIES
 
-    for name in ("jaccard_match",):
+    for name in ("jaccard_match", "overlap_match"):
         plan = QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
         assert "array_intersect" not in plan and "Join" not in plan, name
 
