@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import postings, token_sets
-from pairwright.operators import blocking, cleaning, matching, packed, pairs, truth, weighting
+from pairwright.operators import blocking, cleaning, evaluate, matching, packed, pairs, ranking, truth, weighting
 
 SCHEMA = "ds int, id long, seq long, text string"
 
@@ -83,3 +83,16 @@ def test_true_pairs_among_blocks(spark, monkeypatch, size):
     both = {(r["e1"], r["e2"]) for r in cbs.collect()}
     got = rows(every.among(packed.blocks(source, 8), 8))
     assert got == sorted(p for p in want if p in both) != sorted(want)
+
+
+def test_curve_without_sorting_all_pairs(spark, monkeypatch):
+    """Few weights, so nearly all pairs tie; against the sorted form."""
+    rng = random.Random(11)
+    drawn = sorted({(rng.randrange(40), rng.randrange(40, 80)) for _ in range(600)})
+    weighed = spark.createDataFrame([(*p, rng.choice([0.25, 0.5, 0.75, 1 / 3])) for p in drawn], "e1 long, e2 long, w double").repartition(3)
+    true = spark.createDataFrame([*rng.sample(drawn, 90), (0, 999)], "e1 long, e2 long")
+    mine = rows(evaluate.recall_curve_of(weighed, true, 91))
+    order = ranking.ranked(weighed, F.desc("w"), F.col("e1"), F.col("e2"))[0]
+    assert mine == rows(evaluate.recall_curve(order, true, 91)) and len(mine) == 90
+    monkeypatch.setattr(evaluate, "BROADCAST_PAIRS", 10)
+    assert rows(evaluate.recall_curve_of(weighed, true, 91)) == mine
