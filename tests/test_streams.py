@@ -326,3 +326,18 @@ def test_keys_of_any_type_and_an_order_column(spark):
     assert rows(source, "id", "seq", "text") == [(0, 9, "y"), (1, 5, "x y"), (2, 1, "x")]
     raw = pairs.dirty_pairs(blocking.capped(postings(source), 50))
     assert rows(raw, "e1", "e2", "token") == [(1, 0, "y"), (2, 1, "x")], "e1 arrived first"
+
+
+def test_the_counting_fold_takes_more_than_the_bound(spark, source, monkeypatch):
+    """What failed at size: the fold refused more than MOST postings."""
+    for cap, beta in ((6, 0.1), (6, 0.6), (3.5, 0.3), (1, 0.0), (float("inf"), 0.2)):
+        want = exact.exact_pairs(token_sets(source), cap, beta).groupBy("e1", "e2").agg(F.count(F.lit(1)).alias("cbs"))
+        want = rows(want, "e1", "e2", "cbs")
+        with monkeypatch.context() as bound:
+            bound.setattr(exact, "MOST", 10)
+            assert rows(exact.counted(token_sets(source, hashed=True).repartition(3), cap, beta), "e1", "e2", "cbs") == want
+    assert want
+    two = token_sets(source, hashed=True)
+    both = two.union(two.withColumns({"ds": F.lit(1), "id": F.col("id") + 1000}))
+    assert sorted(r["e1"] // 1000 for r in exact.counted(both, 6, 0.1).collect()) == sorted(2 * len(exact.counted(two, 6, 0.1).collect()) // 2 * [0, 1])
+    assert exact.counted(two.limit(0), 6, 0.1).count() == 0
