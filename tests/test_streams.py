@@ -341,3 +341,79 @@ def test_the_counting_fold_takes_more_than_the_bound(spark, source, monkeypatch)
     both = two.union(two.withColumns({"ds": F.lit(1), "id": F.col("id") + 1000}))
     assert sorted(r["e1"] // 1000 for r in exact.counted(both, 6, 0.1).collect()) == sorted(2 * len(exact.counted(two, 6, 0.1).collect()) // 2 * [0, 1])
     assert exact.counted(two.limit(0), 6, 0.1).count() == 0
+
+
+def plainly(pairs, increment, k, two, limit=None):
+    """The sequential rules of I-PES on plain lists: (request, rank, e1, e2)."""
+    sides, near, ready, spare, total, count, out = (0, int(two)), {}, [], [], 0.0, 0, []
+
+    def put(node, w, other):
+        near[node] = sorted([*near[node], (-w, other)])[: entity_queue.NEIGHBOURS]
+
+    def request():
+        if not ready:
+            ready.extend((held[0][0], *node) for node, held in near.items() if held)
+        got = []
+        while len(got) < k and ready:
+            ready.sort()
+            _, side, e = ready.pop(0)
+            if near[side, e]:
+                other = near[side, e].pop(0)[1]
+                got.append((other, e) if (side == 1 if two else other < e) else (e, other))
+        for p in spare[: k - len(got)]:
+            got.append(p[1:])
+            spare.remove(p)
+        number = 1 + out[-1][0] if out else 0
+        out.extend((number, i + 1, *p) for i, p in enumerate(got))
+
+    parts = {}
+    for e1, e2, w in sorted(pairs, key=lambda p: (p[1], p[0])):
+        parts.setdefault(e2 // increment, {}).setdefault(e2, []).append((e1, e2, w))
+    for part in parts.values():
+        for mine in part.values():
+            mean = sum(w for *_, w in mine) / len(mine)
+            for e1, e2, w in mine:
+                if w < mean:
+                    continue
+                total, count = total + w, count + 1
+                ends = ((sides[0], e1), e2), ((sides[1], e2), e1)
+                for node, _ in ends:
+                    near.setdefault(node, [])
+                beaten = next((x for x in ends if w > (-near[x[0]][0][0] if near[x[0]] else 0.0)), None)
+                if beaten:
+                    ready.append((-w, *beaten[0]))
+                    put(beaten[0], w, beaten[1])
+                elif w > total / count:
+                    node, other = ends[0] if len(near[ends[0][0]]) < len(near[ends[1][0]]) else ends[1]
+                    if len(near[node]) < entity_queue.NEIGHBOURS or -sum(x for x, _ in near[node]) / len(near[node]) > w:
+                        put(node, w, other)
+                else:
+                    spare.append((-w, e1, e2))
+                    spare.sort()
+                    del spare[limit if limit is not None else len(spare) :]
+        request()
+    while spare or any(near.values()):
+        request()
+    return out
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_the_entity_queue_takes_more_than_the_bound(spark, monkeypatch, two):
+    """What failed at size: the fold refused more than MOST pairs, and held them all."""
+    rng = random.Random(8)
+    every = [(a, b, rng.randint(1, 12) / 8) for b in range(90) for a in range(60 if two else b) if rng.random() < 0.5]
+    monkeypatch.setattr(entity_queue, "NEIGHBOURS", 4)
+    queue, out = entity_queue.EntityQueue(two, overflow=25), []
+    for request in range(9):
+        for b in range(10 * request, 10 * request + 10):
+            queue.update([p for p in every if p[1] == b])
+        out += [(request, i + 1, *p) for i, p in enumerate(queue.take(13))]
+    while not queue.empty():
+        request += 1
+        out += [(request, i + 1, *p) for i, p in enumerate(queue.take(13))]
+    assert out == plainly(every, 10, 13, two, 25)
+    monkeypatch.setattr(entity_queue, "NEIGHBOURS", 60)
+    monkeypatch.setattr(entity_queue, "MOST", 10)
+    df = spark.createDataFrame(rng.sample(every, len(every)), "e1 long, e2 long, w double").repartition(3)
+    assert rows(entity_queue.folded(df, 10, 13, two), "request", "rank", "e1", "e2") == plainly(every, 10, 13, two)
+    assert entity_queue.folded(df.limit(0), 10, 13, two).count() == 0
