@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut, documents, packed, text_key
+from .common import broadcast_if, cut, documents, packed, small_batches, text_key
 from .scan import U64, hash_segments, mix, random_table, slices
 
 WINDOW = 8
@@ -276,7 +276,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST
 def decontaminate(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST, literals: int = LITERALS) -> DataFrame:
     """The rows of docs whose text holds no item, with the columns of docs."""
     rows = packed(docs, "doc_id", "text")
-    held = cut(_holding(rows, benchmark, shortest, literals).select("doc_id", "_t1", "_t2").distinct(), "held").toDF("x0", "x1", "x2")
+    with small_batches(docs.sparkSession):
+        held = cut(_holding(rows, benchmark, shortest, literals).select("doc_id", "_t1", "_t2").distinct(), "held").toDF("x0", "x1", "x2")
     t1, t2 = text_key()
     same = F.col("doc_id").eqNullSafe(F.col("x0")) & (F.col("_t1") == F.col("x1")) & (F.col("_t2") == F.col("x2"))
     return rows.select("row", "doc_id", t1, t2).join(broadcast_if(held, held.count(), BROADCAST_HELD), same, "left_anti").select("row.*")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut, documents, drop, let, packed, text_key
+from .common import broadcast_if, cut, documents, drop, let, packed, small_batches, text_key
 from .graph import components
 from .scan import U64, hash_segments, mix, random_table, slices, word_hashes
 
@@ -258,7 +258,8 @@ def _settle(links: _Links, long: DataFrame) -> None:
 def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, _t1, _t2, node, n) of every row of docs, and (node, first, copies, label) of the classes that don't stand alone: first
     is the least doc_id of the class, label names its component."""
-    rows = cut(scanned(docs, SKETCH), "sketches")
+    with small_batches(docs.sparkSession):
+        rows = cut(scanned(docs, SKETCH), "sketches")
     sketches = cut(rows.where("n > 0").select("node", "n", "hashes").dropDuplicates(["node"]), "classes")
     published = sketches.select(F.explode(F.slice("hashes", 1, PUBLISH)).alias("key"), "node", F.col("n").cast("int").alias("n"), F.least(F.size("hashes"), F.lit(PUBLISH)).alias("p"))
     lists = cut(_rarest(_sized(published), percent), "lists")
@@ -267,7 +268,8 @@ def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     crowded = cut(hot.where("crowded").select("node").distinct(), "crowded")
     drop(lists)
     first = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_t1", "_t2")).alias("own"))
-    sets = cut(_full_sets(docs, first, found.select("a").union(found.select("b")).union(crowded).distinct()), "sets")
+    with small_batches(docs.sparkSession):
+        sets = cut(_full_sets(docs, first, found.select("a").union(found.select("b")).union(crowded).distinct()), "sets")
     long = None
     if not crowded.isEmpty():
         prefixes = cut(_sized(_prefixes(sets.join(crowded, "node", "left_semi"), percent)), "prefixes")

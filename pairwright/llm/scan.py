@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 _MULTIPLIER = 0xD1342543DE82EF95

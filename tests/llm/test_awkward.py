@@ -282,3 +282,29 @@ def test_slices_hold_whole_documents():
 
     texts = ["a" * 10, None, "b" * (3 << 20), "c"]
     assert [(a, b) for a, b, _, _ in scan.slices(pa.array(texts))] == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_texts_reach_workers_in_small_batches_and_slices(spark, monkeypatch):
+    """What failed at size: an executor's memory ran over where whole texts went to Python workers."""
+    import pyarrow as pa
+
+    from pairwright.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, cut = spark.conf.get(name), {}, dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df, tag: (seen.setdefault(tag, spark.conf.get(name)), cut(df, tag))[1])
+    rows = dedup.near_duplicates(spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(9)], "doc_id long, text string"))
+    assert rows.count() == 9 and (seen["sketches"], seen["sets"], spark.conf.get(name)) == (str(common.TEXTS), str(common.TEXTS), before)
+    with common.small_batches(spark):
+        assert max(r["n"] for r in spark.range(0, 3500, 1, 1).mapInArrow(sizes, "n long").collect()) == common.TEXTS
+    texts = [" ".join(f"w{i * k % 977}" for k in range(400)) for i in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(texts), pa.array([0] * 2500), pa.array([0] * 2500)], names=["doc_id", "text", "_t1", "_t2"])
+    tracemalloc.start()
+    assert sum(len(b) for b in dedup._scan(dedup.SKETCH)([batch])) == 2500
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6, "slices of 1 MB took twice that"
