@@ -118,6 +118,16 @@ def test_edit_distance_query_against_brute_force(spark, tables):
         assert r["ed_similarity"] == pytest.approx(1 - r["ed_distance"], abs=2e-6)
 
 
+def test_edit_distance_reads_tokens_in_their_order(spark, tmp_path):
+    """Texts that name the same tokens in other orders are the same sequence of sorted tokens."""
+    from pairwright.plans.catalogue import QUERIES
+
+    texts = ["delta alpha echo bravo", "bravo echo alpha delta", "echo delta charlie bravo alpha"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["e1"], r["e2"]): r["ed_distance"] for r in QUERIES["edit_distance_match"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1): 0.0, (0, 2): 0.2, (1, 2): 0.2}
+
+
 def test_edit_distance_scores_every_cleaned_pair(spark, tables):
     from pairwright.plans.catalogue import QUERIES
 
