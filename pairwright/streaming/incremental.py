@@ -2,7 +2,8 @@
 
 `Blocks` keeps the token blocks of one or two sources up over batches: postings by batch, and a table (token, n0, n1, banned) that
 stands for them wherever only sizes matter, so a batch never counts the postings again. `Incremental` yields the common-block
-counts of all new pairs; a pair's later end is always in the newest batch, so no pair is yielded twice.
+counts of all new pairs; a pair's later end is always in the newest batch, so no pair is yielded twice. `Members` keeps the blocks of
+one source as lists of members, for pairs that only travel as packed numbers (operators.packed).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import postings
+from pairwright.operators import evaluate, packed
 from pairwright.sources.storage import fresh_path
 
 from .state import Table
@@ -66,6 +68,22 @@ class Blocks:
         return met.where("ds != d1").select(F.when(first, F.col("id")).otherwise(F.col("i1")).alias("e1"), F.when(first, F.col("i1")).otherwise(F.col("id")).alias("e2"), "token", F.col("ds").alias("node_ds"), F.col("id").alias("node"))
 
 
+class Members:
+    """The members of each block of one source over batches, in order of arrival, under the cap; tokens are hashed."""
+
+    def __init__(self, spark: SparkSession, cap: float):
+        self.cap, self.table = cap, Table(spark, "members", packed.MEMBERS, whole=True)
+
+    def add(self, batch: DataFrame, number: int) -> DataFrame:
+        """All blocks after a batch; old: how many of the members were there before it."""
+        return self.table.write(packed.members(batch, self.table.before(number), self.cap), number)
+
+    @staticmethod
+    def fresh(blocks: DataFrame) -> DataFrame:
+        """Those of these blocks in which a batch made pairs."""
+        return blocks.where(F.size("ids") > F.greatest("old", F.lit(1)))
+
+
 class Incremental:
     """Common-block counts of one source, batch by batch."""
 
@@ -129,3 +147,26 @@ def run(source: DataFrame, size: int, cap: float, listener: Callable[[DataFrame,
 
     stream(source, size, step)
     return state.pairs()
+
+
+def measured(source: DataFrame, size: int, cap: float, truth: DataFrame) -> DataFrame:
+    """Stream a source increment by increment and count the new pairs of each: (increment, comparisons, found), found being those that
+    are true; increments without pairs have no row. The pairs are counted where they are made, and none is stored."""
+    spark = source.sparkSession
+    members, out = Members(spark, cap), Table(spark, "measures", f"increment long, {evaluate.TALLY}")
+    few = truth.count() <= evaluate.BROADCAST_PAIRS
+    tally, known = evaluate.tallied(truth) if few else (None, None)
+
+    def step(batch: DataFrame, number: int) -> None:
+        fresh = members.fresh(members.add(batch, number))
+        if few:
+            counts = packed.common_blocks(fresh, then=tally, schema=evaluate.TALLY)
+        else:
+            counts = evaluate.flagged(packed.common_blocks(fresh), truth).select(F.lit(1).alias("comparisons"), F.col("hit").alias("found"))
+        sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("comparisons", "found")))
+        out.write(sums.select(F.lit(number).cast("long").alias("increment"), "comparisons", "found"), number)
+
+    batches = stream(source, size, step)
+    if known is not None:
+        known.destroy()
+    return out.all(batches).where("comparisons > 0")
