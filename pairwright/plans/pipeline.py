@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from pairwright.functions.text import postings, token_sets
 from pairwright.operators import blocking, cleaning, evaluate, matching, pairs, prioritize, ranking, weighting
+from pairwright.sources.storage import broadcast_if
 from pairwright.streaming import incremental
 from pairwright.streaming import progressive as stream_progressive
 
+#: Ids broadcast at most (8 bytes each).
+BROADCAST_IDS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Config:
@@ -118,6 +122,9 @@ def progressive_streaming(source: DataFrame, config: Config = Config(), policy=N
         sizes = tuple(source.where(F.col("ds") == d).count() for d in (0, 1))
     asked = {f: getattr(config, f) for f in ("prioritizer", "weighting", "cleaning", "cap", "rho", "beta", "budget")}
     released = stream_progressive.run(source, config.increment, stream_progressive.Settings(**asked, sizes=sizes if config.two else None, **more), policy, every)
+    if config.matcher != "no":  # only the released ends' tokens are needed
+        ends = released.select("e1").union(released.select("e2")).distinct().toDF("id")
+        source = source.join(broadcast_if(ends, ends.count(), BROADCAST_IDS), "id", "left_semi").select(source.columns)
     return _scored(released.select("request", "rank", "e1", "e2", "w", "increment"), source, config).select("request", "rank", "e1", "e2", "w", "sim", "increment")
 
 

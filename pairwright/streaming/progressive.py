@@ -11,6 +11,9 @@ from the rates of arrival and service. A budget ends the releases by count, a li
     ipbs          the smallest block first, by its comparisons when the pair came up, then shared blocks
     no            in order of arrival
 
+Where a budget is left and the order is that of the weight, a pair behind as many better ones as the budget has left can't go out any
+more, so only the best of a batch are queued (`best`); they are found where the batch's pairs are counted, as packed numbers.
+
 `bound` keeps at most so many pairs queued, the best in that order (None: all). Where no pair is left, a request may go on to
 `fallback`: pairs of blocks that cleaning had dropped, smallest block first.
 """
@@ -20,15 +23,18 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairwright.operators import cleaning, prioritize, ranking
+from pairwright.operators import cleaning, packed, prioritize, ranking
 
-from .incremental import Blocks, stream
+from .incremental import Blocks, Members, stream
 from .policy import Fixed
 from .state import Table
 
+#: bp is null where only the best of a batch are queued.
 PAIR = "e1 long, e2 long, w double, cbs long, bp long, node_ds int, node long, increment long"
 ORDERS = ("icps", "iacps", "ilsps", "ieps", "ipbs", "no")
 
@@ -62,6 +68,39 @@ def _comparisons(two: bool) -> Column:
     return F.col("n0") * F.col("n1") if two else F.expr("n0 * (n0 - 1) div 2")
 
 
+WEIGHED = "e1 long, e2 long, cbs long, w double"
+
+
+def _best(k: int, scale: float | None):
+    """The k best of a worker's pairs, by weight, e1, e2. scale: of cbs over all blocks of either end; None: w is cbs."""
+
+    def run(batches):
+        held, n, least = [], 0, -np.inf
+
+        def first():
+            e1, e2, cbs, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            if len(w) > k:  # all that the k-th best may be, then in order
+                some = np.flatnonzero(w >= np.partition(w, len(w) - k)[len(w) - k])
+                some = some[np.lexsort((e2[some], e1[some], -w[some]))[:k]]
+                e1, e2, cbs, w = e1[some], e2[some], cbs[some], w[some]
+            return e1, e2, cbs, w
+
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy()  # noqa: B023, E731
+            e1, e2, cbs = (column(c) for c in ("e1", "e2", "cbs"))
+            w = cbs.astype(np.float64) if scale is None else cbs * scale / (column("nb1") + column("nb2") - cbs)
+            some = w >= least
+            held.append((e1[some], e2[some], cbs[some], w[some]))
+            n += int(some.sum())
+            if n > 4 * k + 100_000:
+                held = [first()]
+                n, least = len(held[0][0]), held[0][3].min() if len(held[0][0]) == k else -np.inf
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in first()], names=["e1", "e2", "cbs", "w"])
+
+    return run
+
+
 class Progressive:
     """Blocks, queue and releases of one stream."""
 
@@ -73,6 +112,7 @@ class Progressive:
         self.queue = Table(spark, "queue", PAIR, whole=True)
         self.dropped = Table(spark, "dropped", PAIR)
         self.released = Table(spark, "released", f"request long, rank long, {PAIR}")
+        self.members, self.chosen = Members(spark, settings.cap), Table(spark, "best", PAIR)
         self.requests, self.sent, self.began, self.last = 0, {}, time.monotonic(), None
 
     def weighed(self, kept: DataFrame, number: int) -> DataFrame:
@@ -109,12 +149,43 @@ class Progressive:
             return rounds, ((F.col("round") > prioritize.NEIGHBOURS), F.col("round"), *prioritize.best())
         return queue, prioritize.best()
 
+    @property
+    def few(self) -> bool:
+        """Whether `best` has all that the budget can ever let out."""
+        s = self.settings
+        ends = s.budget is not None and s.budget <= cleaning.TOP and s.prioritizer.startswith(("icps", "iacps", "ilsps"))
+        return ends and s.cleaning in ("wnp2", "hs") and not (self.two or s.beta or s.fallback)
+
+    def best(self, batch: DataFrame, number: int) -> DataFrame:
+        """The best cleaned pairs of a batch, as many as the budget has left."""
+        s, left = self.settings, self._unsent(number)
+        blocks = self.members.add(batch, number)
+        fresh, mean = self.members.fresh(blocks), s.cleaning == "wnp2"
+        if s.weighting == "cbs":
+            found = packed.common_blocks(fresh, mean, _best(left, None), WEIGHED)
+        else:
+            came = blocks.select(F.explode(F.expr("slice(ids, old + 1, size(ids) - old)")).alias("id"))
+            self.counts.write(came.groupBy("id").agg(F.count(F.lit(1)).alias("nb")).select(F.lit(0).alias("ds"), "id", "nb"), number)
+            found = packed.common_sizes(fresh, self.counts.all(number + 1), mean, _best(left, 100.0 if s.weighting == "bjs" else 1.0), WEIGHED)
+        first = found.select("e1", "e2", "w", "cbs", F.lit(0).alias("node_ds"), F.col("e2").alias("node"))
+        return self._chosen(first, left, number)
+
+    def _chosen(self, pairs: DataFrame, left: int, number: int) -> DataFrame:
+        """The first of these pairs, written once. No order that is the weight's reads the size of their least block: bp is null."""
+        first = pairs.orderBy(*prioritize.best()).limit(left)
+        names = [c.split()[0] for c in PAIR.split(", ")]
+        return self.chosen.write(first.withColumns({"bp": F.lit(None).cast("long"), "increment": F.lit(number).cast("long")}).select(names), number)
+
+    def _unsent(self, number: int) -> int:
+        """What the budget has left for a request and those behind it."""
+        return max(0, self.settings.budget - sum(n for request, n in self.sent.items() if request != number))
+
     def _left(self, number: int) -> int | None:
         """How many pairs may still go out with a request; None: no limit."""
         s = self.settings
         if s.seconds is not None and time.monotonic() - self.began >= s.seconds:
             return 0
-        return None if s.budget is None else s.budget - sum(n for request, n in self.sent.items() if request != number)
+        return None if s.budget is None else self._unsent(number)
 
     def _release(self, queue: DataFrame, number: int) -> DataFrame:
         """One request: K pairs go out, and the rest is the queue."""
@@ -127,23 +198,30 @@ class Progressive:
         self.sent[number] = sent.count()
         self.requests = max(self.requests, number + 1)
         rest = queue.join(sent.select("e1", "e2"), ["e1", "e2"], "left_anti")
-        if self.settings.bound is not None:
+        bounds = [self.settings.bound] if self.settings.bound is not None else []
+        bounds += [self._unsent(number + 1)] if self.few else []
+        if bounds:
             plan, order = self.ordered(rest)
-            rest = ranking.top(plan, self.settings.bound, *order).select(queue.columns)
+            rest = ranking.top(plan, min(bounds), *order).select(queue.columns)
         return rest.select(queue.columns)
 
-    def step(self, batch: DataFrame, number: int) -> None:
-        """One increment, and the request behind it."""
-        began = time.monotonic()
-        if self.last is not None and hasattr(self.policy, "arrived"):
-            self.policy.arrived(began - self.last)
-        self.last = began
+    def _cleaned(self, batch: DataFrame, number: int) -> DataFrame:
+        """The cleaned pairs of a batch; what cleaning dropped is written for the fallback."""
         kept = self.blocks.add(batch, number)
         fresh = self.weighed(kept, number).withColumn("increment", F.lit(number).cast("long"))
         names = [c.split()[0] for c in PAIR.split(", ")]
         cleaned = cleaning.CLEANERS[self.settings.cleaning](fresh, by=("node_ds", "node")).select(names)
         if self.settings.fallback:
             self.dropped.write(fresh.select(names).join(cleaned.select("e1", "e2"), ["e1", "e2"], "left_anti"), number)
+        return cleaned
+
+    def step(self, batch: DataFrame, number: int) -> None:
+        """One increment, and the request behind it."""
+        began = time.monotonic()
+        if self.last is not None and hasattr(self.policy, "arrived"):
+            self.policy.arrived(began - self.last)
+        self.last = began
+        cleaned = self.best(batch, number) if self.few else self._cleaned(batch, number)
         waiting = cleaned if self.settings.prioritizer == "ilsps" else self.queue.before(number).unionByName(cleaned)
         self.queue.write(self._release(waiting, number), number)
         if hasattr(self.policy, "served"):

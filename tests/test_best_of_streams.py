@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators import evaluate
-from pairwright.streaming import incremental
+from pairwright.streaming import incremental, progressive
+from pairwright.streaming.policy import Fixed
 
 SCHEMA = "ds int, id long, seq long, text string"
+COLUMNS = ("request", "rank", "e1", "e2", "w", "cbs", "node_ds", "node", "increment")
 
 
 def rows(df, *columns):
@@ -26,6 +28,26 @@ def source(spark):
     return spark.createDataFrame([(0, i, i, t) for i, t in enumerate(texts(rng, 70, 12))], SCHEMA).repartition(3).cache()
 
 
+def both_forms(monkeypatch, source, size, settings, k):
+    mine = rows(progressive.run(source, size, settings, Fixed(k)), *COLUMNS)
+    with monkeypatch.context() as plain:
+        plain.setattr(progressive.Progressive, "few", property(lambda self: False))
+        want = rows(progressive.run(source, size, settings, Fixed(k)), *COLUMNS)
+    return mine, want
+
+
+@pytest.mark.parametrize(("options", "k"), [({"weighting": "js"}, 15), ({"prioritizer": "ilsps", "cleaning": "hs"}, 15)])
+def test_the_best_of_one_source(source, monkeypatch, options, k):
+    """What failed at size: all pairs of a batch were made as rows with their tokens, and all that wait were written at each request."""
+    settings = progressive.Settings(**({"cap": 6, "budget": 60} | options))
+    state = progressive.Progressive(source.sparkSession, settings, Fixed(k))
+    for number in range(2):
+        state.step(source.where(F.floor(F.col("seq") / 35) == number), number)
+    assert state.queue.of(1).count() <= 60 - 2 * k
+    mine, want = both_forms(monkeypatch, source, 25, settings, k)
+    assert mine == want and len(mine) > 20
+
+
 @pytest.mark.parametrize("most", [500_000, 3])
 def test_a_counted_stream_stores_no_pairs(source, monkeypatch, most):
     monkeypatch.setattr(evaluate, "BROADCAST_PAIRS", most)
