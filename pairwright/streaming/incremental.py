@@ -61,11 +61,14 @@ class Blocks:
         """(e1, e2, token, node_ds, node) for the members that postings of a batch met; node arrived last. e1 is the earlier end, or
         that of the first source."""
         known = self.postings.before(number).unionByName(kept).select("token", F.col("ds").alias("d1"), F.col("id").alias("i1"), F.col("seq").alias("s1"))
-        met = kept.select("token", "ds", "id", "seq").join(known, "token").where("s1 < seq")
+        arrived = kept.select("token", "ds", "id", "seq")
         if self.sizes is None:
+            met = arrived.join(known, "token").where("s1 < seq")
             return met.select(F.col("i1").alias("e1"), F.col("id").alias("e2"), "token", F.col("ds").alias("node_ds"), F.col("id").alias("node"))
         first = F.col("ds") == 0
-        return met.where("ds != d1").select(F.when(first, F.col("id")).otherwise(F.col("i1")).alias("e1"), F.when(first, F.col("i1")).otherwise(F.col("id")).alias("e2"), "token", F.col("ds").alias("node_ds"), F.col("id").alias("node"))
+        # side by side: a join by token alone would try all pairs of either source too
+        met = [arrived.where(F.col("ds") == d).join(known.where(F.col("d1") == 1 - d), "token").where("s1 < seq") for d in (0, 1)]
+        return met[0].unionByName(met[1]).select(F.when(first, F.col("id")).otherwise(F.col("i1")).alias("e1"), F.when(first, F.col("i1")).otherwise(F.col("id")).alias("e2"), "token", F.col("ds").alias("node_ds"), F.col("id").alias("node"))
 
 
 class Members:

@@ -32,6 +32,7 @@ from pairwright.operators import cleaning, packed, prioritize, ranking
 
 from .incremental import Blocks, Members, stream
 from .policy import Fixed
+from .sides import SMALL, Sides
 from .state import Table
 
 #: bp is null where only the best of a batch are queued.
@@ -113,6 +114,7 @@ class Progressive:
         self.dropped = Table(spark, "dropped", PAIR)
         self.released = Table(spark, "released", f"request long, rank long, {PAIR}")
         self.members, self.chosen = Members(spark, settings.cap), Table(spark, "best", PAIR)
+        self.sides = Sides(spark, settings.sizes, settings.rho) if self.two else None
         self.requests, self.sent, self.began, self.last = 0, {}, time.monotonic(), None
 
     def weighed(self, kept: DataFrame, number: int) -> DataFrame:
@@ -154,11 +156,14 @@ class Progressive:
         """Whether `best` has all that the budget can ever let out."""
         s = self.settings
         ends = s.budget is not None and s.budget <= cleaning.TOP and s.prioritizer.startswith(("icps", "iacps", "ilsps"))
-        return ends and s.cleaning in ("wnp2", "hs") and not (self.two or s.beta or s.fallback)
+        two = not self.two or (s.weighting == "cbs" and min(s.sizes) <= SMALL)
+        return ends and two and s.cleaning in ("wnp2", "hs") and not (s.beta or s.fallback)
 
     def best(self, batch: DataFrame, number: int) -> DataFrame:
         """The best cleaned pairs of a batch, as many as the budget has left."""
         s, left = self.settings, self._unsent(number)
+        if self.two:
+            return self._best_of_two(batch, left, number)
         blocks = self.members.add(batch, number)
         fresh, mean = self.members.fresh(blocks), s.cleaning == "wnp2"
         if s.weighting == "cbs":
@@ -170,6 +175,17 @@ class Progressive:
         first = found.select("e1", "e2", "w", "cbs", F.lit(0).alias("node_ds"), F.col("e2").alias("node"))
         return self._chosen(first, left, number)
 
+    def _best_of_two(self, batch: DataFrame, left: int, number: int) -> DataFrame:
+        """Pairs whose small end arrived last are cleaned here, as they are made in many places; the others are cleaned by the workers."""
+        mean, small = self.settings.cleaning == "wnp2", self.sides.small
+        met = self.sides.pairs(batch, number, mean)
+        best, ends = _best(left, None), ("e1", "e2")
+        done = met.where("NOT late").select("e1", "e2", "cbs").mapInArrow(best, WEIGHED)
+        late = met.where("late").select("e1", "e2", "cbs")
+        late = (cleaning.above_mean(late, by=(ends[small],)) if mean else late).withColumn("w", F.col("cbs").cast("double"))
+        node = lambda df, side: df.select("e1", "e2", "w", "cbs", F.lit(side).alias("node_ds"), F.col(ends[side]).alias("node"))
+        return self._chosen(node(done, 1 - small).unionByName(node(late, small)), left, number)
+
     def _chosen(self, pairs: DataFrame, left: int, number: int) -> DataFrame:
         """The first of these pairs, written once. No order that is the weight's reads the size of their least block: bp is null."""
         first = pairs.orderBy(*prioritize.best()).limit(left)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.operators import evaluate
-from pairwright.streaming import incremental, progressive
+from pairwright.sources import profiles
+from pairwright.streaming import incremental, progressive, sides
 from pairwright.streaming.policy import Fixed
 
 SCHEMA = "ds int, id long, seq long, text string"
@@ -48,6 +49,25 @@ def test_the_best_of_one_source(source, monkeypatch, options, k):
     assert mine == want and len(mine) > 20
 
 
+@pytest.mark.parametrize(("n1", "n2", "rho", "clean"), [(60, 12, 0.5, "wnp2"), (12, 60, 0.15, "hs"), (30, 30, 0.1, "wnp2")])
+def test_the_best_of_two_sources(spark, monkeypatch, n1, n2, rho, clean):
+    """What failed at size: a token's block was joined with itself, so that its pairs within each source were tried too."""
+    rng = random.Random(n1 + n2)
+    one, two = (spark.createDataFrame([(0, i, i, t) for i, t in zip(sorted(rng.sample(range(70), n)), texts(rng, n, 9), strict=True)], SCHEMA) for n in (n1, n2))
+    source = profiles.interleave(one, two).repartition(3).cache()
+    monkeypatch.setattr(sides, "CELLS", 50)
+    settings = progressive.Settings(cap=6, sizes=(n1, n2), rho=rho, cleaning=clean, budget=90)
+    mine, want = both_forms(monkeypatch, source, 50, settings, 30)
+    assert mine == want != []
+
+
+def test_pairs_of_two_sources_are_met_side_by_side(spark):
+    kept = spark.createDataFrame([("a", 0, i, 2 * i, 0) for i in range(5)] + [("a", 1, i, 2 * i + 1, 0) for i in range(2)], "token string, ds int, id long, seq long, c long")
+    met = incremental.Blocks(spark, 0, (5, 2), 10).pairs(kept, 0)
+    assert rows(met, "e1", "e2", "node_ds") == sorted((a, b, int(2 * b + 1 > 2 * a)) for a in range(5) for b in range(2))
+    assert "NOT (ds" not in met._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("most", [500_000, 3])
 def test_a_counted_stream_stores_no_pairs(source, monkeypatch, most):
     monkeypatch.setattr(evaluate, "BROADCAST_PAIRS", most)
