@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import postings, token_sets
-from pairwright.operators import blocking, cleaning, evaluate, matching, packed, pairs, ranking, truth, weighting
+from pairwright.operators import blocking, cleaning, edits, evaluate, matching, packed, pairs, ranking, truth, weighting
 
 SCHEMA = "ds int, id long, seq long, text string"
 
@@ -96,3 +96,51 @@ def test_curve_without_sorting_all_pairs(spark, monkeypatch):
     assert mine == rows(evaluate.recall_curve(order, true, 91)) and len(mine) == 90
     monkeypatch.setattr(evaluate, "BROADCAST_PAIRS", 10)
     assert rows(evaluate.recall_curve_of(weighed, true, 91)) == mine
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("size, chunk, linked", [(1_000_000, 32_000_000, 1_000_000), (50, 300, 20)])
+@pytest.mark.parametrize("mean", [False, True])
+def test_edits_of_the_same_pairs(source, monkeypatch, size, chunk, linked, mean):
+    monkeypatch.setattr(packed, "SLICE", size)
+    monkeypatch.setattr(packed, "CHUNK", chunk)
+    monkeypatch.setattr(packed, "LINKED", linked)
+    found, text = packed.blocks(source, 12), {r["id"]: r["tokens"] for r in token_sets(source).collect()}
+    got = rows(packed.edit_distances(source, found, 12, mean))
+    assert [r[:2] for r in got] == rows(packed.common_blocks(found, mean).select("e1", "e2")) != []
+    assert got == [(a, b, _edits(text[a], text[b]), len(text[a]), len(text[b])) for a, b, *_ in got]
+
+
+@pytest.mark.parametrize("tokens, abreast", [(1 << 16, 1 << 16), (40, 64)])
+@pytest.mark.parametrize("words, least", [(30, 0), (1000, 0), (40_000, 33_000)])
+def test_edits_of_sequences_of_any_length(monkeypatch, tokens, abreast, words, least):
+    monkeypatch.setattr(edits, "TOKENS", tokens)
+    monkeypatch.setattr(edits, "ABREAST", abreast)
+    rng = np.random.default_rng(words)
+    most = 30 if least == 0 else 3
+    late = np.sort(rng.choice(words, int(rng.integers(least, words)), replace=False))
+    early = [np.sort(rng.choice(words, int(rng.integers(0, min(words, 200))), replace=False)) for _ in range(most)] + [late[late % 9 > 0][:200], late[:1]]
+    size = np.array([len(x) for x in early])
+    ends = np.cumsum(size)
+    links = edits.Finder(words).links(late + 1, np.concatenate(early).astype(np.int32) + 1, ends - size, ends)
+    got = edits.distances(*links, size, np.full(len(size), len(late)))
+    if least:  # too long for a plain table
+        assert all(len(late) - np.isin(e, late).sum() <= g <= len(late) for g, e in zip(got, early, strict=True))
+        assert got[-2:].tolist() == [len(late) - 200, len(late) - 1]
+    else:
+        assert got.tolist() == [_edits(e.tolist(), late.tolist()) for e in early]
+
+
+def test_edit_distances_travel_without_token_arrays(spark, tables):
+    from pairwright.plans.catalogue import QUERIES
+
+    plan = QUERIES["edit_distance_match"](spark, tables)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "array_intersect" not in plan
